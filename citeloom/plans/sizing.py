@@ -1,0 +1,17 @@
+"""Broadcasts happen only behind a measured bound; past it the caller plans a shuffle join."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def at_most(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``rows`` has at most ``limit`` rows.  Reads partitions only until the limit is passed."""
+    return len(rows.select(F.lit(1)).take(limit + 1)) <= limit
+
+
+def small_side(rows: DataFrame, bounded: bool) -> DataFrame:
+    return F.broadcast(rows) if bounded else rows
