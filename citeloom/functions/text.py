@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes.
-SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE = r"[\s\x1c-\x1f]"  # for patterns under (?U)
+EDGES = rf"(?U)^{SPACE}+|{SPACE}+$"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 LEXICAL = r"[\p{L}\p{N}_\u00c0-\u1ef9]"
@@ -22,8 +23,8 @@ FOLDED_LETTERS = (
     r"[\u00b5\u00df\u0149\u017f\u01f0\u0345\u0370-\u03ff\u0587\u1c80-\u1c88"
     r"\u1e96-\u1e9e\u1f00-\u1fff\ufb00-\ufb17]"
 )
-# Outside this class canonical composition may change a string.
-COMPOSED = r"[^\x00-\u02ff\u1ea0-\u1ef9\u2002-\u20cf]"
+# Outside Latin letters, Vietnamese included, and punctuation, canonical composition may change a string.
+COMPOSED = r"[\u0300-\u1e9f\u1efa-\u2001\u20d0-\x{10ffff}]"
 KEY_TRIM = " .,:;()[]{}\"'"
 TITLE_TRIM = " .,:;()"
 QUOTE_TRIM = "\"“”‘’' "
@@ -47,9 +48,10 @@ def contains_any(value: Column, needles: Iterable[str]) -> Column:
 
 def nfc(value: Column) -> Column:
     """Canonical composition; text made of already composed Latin letters skips the call."""
-    value = F.coalesce(value, F.lit(""))
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(False))
-    return F.when(value.rlike(COMPOSED), composed).otherwise(value)
+    def compose(text: Column) -> Column:
+        composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+        return F.when(text.rlike(COMPOSED), composed).otherwise(text)
+    return let(F.coalesce(value, F.lit("")), compose)
 
 
 def casefold(value: Column) -> Column:
@@ -64,7 +66,7 @@ def casefold(value: Column) -> Column:
 
 
 def collapse(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(value, f"(?U){SPACE}+", " "))
 
 
 def normalise(value: Column) -> Column:
@@ -85,19 +87,23 @@ def token_set(value: Column) -> Column:
 
 
 def line_breaks(value: Column) -> Column:
-    return F.regexp_replace(value, "\r\n?", "\n")
+    return F.when(F.contains(value, F.lit("\r")), F.regexp_replace(value, "\r\n?", "\n")).otherwise(value)
 
 
 def paragraphs(value: Column) -> Column:
     """Blank-line separated paragraphs, or single lines where that leaves at most one; three characters or more."""
-    text = line_breaks(F.coalesce(value, F.lit("")))
+    def parts(text: Column, pattern: str, shortest: int) -> Column:
+        return F.filter(F.transform(F.split(text, pattern), collapse), lambda part: F.length(part) >= shortest)
 
-    def parts(pattern: str) -> Column:
-        return F.filter(F.transform(F.split(text, pattern), collapse), lambda part: part != "")
+    def lines(text: Column) -> Column:
+        return parts(text, LINE_END, 3)
 
-    blocks = F.when(F.contains(text, F.lit("\n\n")), parts("\n{2,}"))
-    chosen = let(blocks, lambda found: F.when(F.size(found) > 1, found).otherwise(parts(LINE_END)))
-    return F.filter(chosen, lambda part: F.length(part) >= 3)
+    def cut(text: Column) -> Column:
+        blocks = let(parts(text, "\n{2,}", 1), lambda found: F.when(
+            F.size(found) > 1, F.filter(found, lambda part: F.length(part) >= 3)).otherwise(lines(text)))
+        return F.when(F.contains(text, F.lit("\n\n")), blocks).otherwise(lines(text))
+
+    return let(let(F.coalesce(value, F.lit("")), line_breaks), cut)
 
 
 def excerpt(value: Column, limit: int = 220) -> Column:
@@ -153,26 +159,26 @@ def clean_title(title: Column, number: Column) -> Column:
 
 def ordered_ids(ids: Column) -> Column:
     """Trimmed, non-blank, first occurrence kept, order kept."""
-    trimmed = F.transform(ids, lambda item: F.regexp_replace(item, f"^{SPACE}+|{SPACE}+$", ""))
+    trimmed = F.transform(ids, lambda item: F.regexp_replace(item, EDGES, ""))
     return F.array_distinct(F.filter(trimmed, lambda item: item != ""))
 
 
 def sentences(value: Column) -> Column:
-    return F.split(F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", ""), rf"(?<=[.!?。]){SPACE}+")
+    return F.split(F.regexp_replace(value, EDGES, ""), rf"(?U)(?<=[.!?。]){SPACE}+")
 
 
 def redact(value: Column) -> Column:
     secret = F.regexp_replace(
-        value, r"(?iu)(api[_-]?key|token|secret|password)" + f"{SPACE}*[:=]{SPACE}*" + r"(?:(?!" + SPACE + r")[^,])+",
+        value, r"(?iU)(api[_-]?key|token|secret|password)" + f"{SPACE}*[:=]{SPACE}*" + r"(?:(?!" + SPACE + r")[^,])+",
         "$1=[REDACTED]")
     return F.regexp_replace(
-        secret, r"(?iu)(authorization)" + f"{SPACE}*[:=]{SPACE}*" + r"(?:(?!" + SPACE + r")[^,])+", "$1=[REDACTED]")
+        secret, r"(?iU)(authorization)" + f"{SPACE}*[:=]{SPACE}*" + r"(?:(?!" + SPACE + r")[^,])+", "$1=[REDACTED]")
 
 
 def markdown_table(rows: Column) -> Column:
     """``ARRAY<ARRAY<STRING>>`` to a Markdown table: first row is the header, blank rows go, short rows are padded."""
     def cell(item: Column) -> Column:
-        text = F.regexp_replace(F.coalesce(item, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+        text = F.regexp_replace(F.coalesce(item, F.lit("")), EDGES, "")
         return F.replace(text, F.lit("\n"), F.lit(" "))
 
     def line(cells: Column) -> Column:
@@ -214,10 +220,10 @@ def iso_micros(value: Column) -> Column:
 
 def json_payload(content: Column) -> Column:
     """Model output without a surrounding code fence."""
-    text = F.regexp_replace(content, f"^{SPACE}+|{SPACE}+$", "")
+    text = F.regexp_replace(content, EDGES, "")
     inner = F.regexp_replace(F.regexp_replace(text, r"(?s)^[^\n]*\n", ""), r"(?s)```(?:(?!```).)*$", "")
     fenced = text.startswith("```") & text.endswith("```")
-    return F.when(fenced, F.regexp_replace(inner, f"^{SPACE}+|{SPACE}+$", "")).otherwise(text)
+    return F.when(fenced, F.regexp_replace(inner, EDGES, "")).otherwise(text)
 
 
 def completions_url(base: Column) -> Column:
@@ -230,4 +236,4 @@ def error_code(error: Column) -> Column:
 
 
 def error_text(error: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(error, r"(?s)^[^:]*:", ""), f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(F.regexp_replace(error, r"(?s)^[^:]*:", ""), EDGES, "")

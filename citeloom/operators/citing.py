@@ -38,7 +38,7 @@ def check_citations(
                            F.col("citation_ids").isNull().alias("no_list"),
                            (F.size("citation_ids") == 0).alias("empty"))
     listed = listed.where(~F.coalesce("empty", F.lit(False))).drop("empty")
-    listed = listed.withColumn("chunk_id", F.regexp_replace(F.coalesce("raw", F.lit("")), f"^{T.SPACE}+|{T.SPACE}+$", ""))
+    listed = listed.withColumn("chunk_id", F.regexp_replace(F.coalesce("raw", F.lit("")), T.EDGES, ""))
     known = chunk_rows.select("doc_id", "chunk_id", *PLACE, "text", F.lit(True).alias("known"))
     cited = citation_rows.select(
         "doc_id", "chunk_id", *[F.col(name).alias(f"cited_{name}") for name in PLACE], "excerpt",

@@ -39,27 +39,29 @@ def heading(paragraph: Column) -> Column:
     )
 
 
-def page_units(pages: DataFrame) -> DataFrame:
-    """One row per logical unit: (doc_id, page, ordinal, text, level, value)."""
-    split = pages.select(
-        "doc_id", F.col("page_number").cast("int").alias("page"),
-        T.paragraphs(T.nfc(F.col("content"))).alias("parts"),
-    )
-    marked = split.withColumn("heads", F.transform("parts", heading))
-    starts = F.when(F.size("parts") > 0, F.filter(
-        F.sequence(F.lit(1), F.size("parts")),
-        lambda i: (i == 1) | (F.get(F.col("heads"), i - 1)["level"] > 0)))
-    placed = marked.withColumn("starts", starts)
-
-    def unit(start: Column, index: Column) -> Column:
-        stop = F.coalesce(F.get(F.col("starts"), index + 1), F.size("parts") + 1)
-        head = F.get(F.col("heads"), start - 1)
+def _units(parts: Column) -> Column:
+    """Paragraphs of one page to ``ARRAY<STRUCT<ordinal, text, level, value>>``; null for a page without any."""
+    def gathered(heads: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(parts)), lambda i: (i == 1) | (F.get(heads, i - 1)["level"] > 0))
+        return T.let(starts, lambda placed: F.transform(placed, lambda start, index: unit(heads, placed, start, index)))
+
+    def unit(heads: Column, placed: Column, start: Column, index: Column) -> Column:
+        stop = F.coalesce(F.get(placed, index + 1), F.size(parts) + 1)
+        head = F.get(heads, start - 1)
         return F.struct(
             (index + 1).alias("ordinal"),
-            F.array_join(F.slice("parts", start, stop - start), " ").alias("text"),
+            F.array_join(F.slice(parts, start, stop - start), " ").alias("text"),
             head["level"].alias("level"), head["value"].alias("value"))
 
-    return placed.select("doc_id", "page", F.inline(F.transform("starts", unit)))
+    return F.when(F.size(parts) > 0, T.let(F.transform(parts, heading), gathered))
+
+
+def page_units(pages: DataFrame) -> DataFrame:
+    """One row per logical unit: (doc_id, page, ordinal, text, level, value)."""
+    # One nested expression: columns named in between would be inlined into the lambdas and evaluated per element.
+    units = T.let(T.paragraphs(T.nfc(F.col("content"))), _units)
+    return pages.select("doc_id", F.col("page_number").cast("int").alias("page"), F.inline(units))
 
 
 def _open_headings() -> dict[str, Column]:

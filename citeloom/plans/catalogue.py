@@ -47,7 +47,7 @@ def count_of(items: Column) -> Column:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return C.table(spark, folder, "documents")
+    return C.text_table(spark, folder, "documents", "doc_id")
 
 
 def long_columns(rows: DataFrame) -> DataFrame:
@@ -274,12 +274,12 @@ def invariants(spark, folder):
 
 @query
 def token_df(spark, folder):
-    return R.document_frequency(R.token_sets(C.corpus_chunks(spark, folder), "collection"))
+    return R.document_frequency(R.postings(R.token_sets(C.corpus_chunks(spark, folder), "collection")))
 
 
 @query
 def collection_size(spark, folder):
-    return R.collection_sizes(R.token_sets(C.corpus_chunks(spark, folder), "collection"))
+    return R.collection_sizes(C.corpus_chunks(spark, folder), "collection")
 
 
 @query

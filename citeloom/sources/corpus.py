@@ -19,6 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table whose text is about to be worked on.
+
+    One file with one row group is scanned by one task; with fewer files than task slots rows are spread first.
+    A table of many files is left as it lies.
+    """
+    rows = table(spark, folder, name)
+    few = len(rows.inputFiles()) < spark.sparkContext.defaultParallelism
+    return rows.repartition(key) if few else rows
+
+
 def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("([a-z]{4,})"), F.lit(1))
 
@@ -61,7 +72,7 @@ def _decorated(line: Column, index: Column, doc: Column, words: Column) -> Colum
 
 def statute_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, page_number, content) derived from every line of ``documents``."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = text_table(spark, folder, "documents", "doc_id").select("doc_id", "text")
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.trim(line)), lambda line: line != "")
     split = docs.select("doc_id", lines.alias("lines"), plain_words(F.col("text")).alias("words"))
     body = F.transform("lines", lambda line, j: _decorated(line, j, F.col("doc_id"), F.col("words")))
@@ -81,7 +92,7 @@ def statute_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def statute_questions(spark: SparkSession, folder: str) -> DataFrame:
     """One question per document, of six kinds."""
-    docs = table(spark, folder, "documents").select("doc_id", plain_words(F.col("text")).alias("w"))
+    docs = text_table(spark, folder, "documents", "doc_id").select("doc_id", plain_words(F.col("text")).alias("w"))
     kind, w = F.col("doc_id") % 6, F.col("w")
 
     def ask(head: str, start: int, count: int, tail: str) -> Column:
@@ -99,14 +110,14 @@ def statute_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations").select(
+    return text_table(spark, folder, "conversations", "conv_id").select(
         F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"),
         F.col("text").alias("content"))
 
 
 def corpus_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as one collection per language whose chunks are its documents."""
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents", "doc_id").select(
         F.col("lang").alias("collection"), "doc_id", F.lit(1).alias("page"),
         F.concat(F.lit("D"), F.col("doc_id")).alias("chunk_id"), "text")
 
