@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import fixed
+from citeloom.functions.numbers import one_decimal
 from citeloom.operators.history import short_id
 
 __all__ = ["short_id"]
@@ -75,13 +76,13 @@ def progress_step(stage: Column, progress: Column) -> Column:
 
 def duration_label(seconds: Column) -> Column:
     return F.when(seconds < 1, F.concat(F.floor(seconds * 1000 + F.lit(0.5)).cast("bigint"), F.lit(" ms"))).otherwise(
-        F.concat(F.format_string("%.1f", seconds), F.lit(" giây")))
+        F.concat(one_decimal(seconds), F.lit(" giây")))
 
 
 def latency_label(millis: Column) -> Column:
     return F.when(millis < 1000, F.concat(
         F.regexp_replace(millis.cast("string"), r"\.0$", ""), F.lit(" ms"))).otherwise(
-        F.concat(F.format_string("%.1f", millis / 1000), F.lit(" giây")))
+        F.concat(one_decimal(millis / 1000), F.lit(" giây")))
 
 
 def date_label(moment: Column) -> Column:

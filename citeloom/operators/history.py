@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import fixed
 from citeloom.functions import text as T
+from citeloom.functions.numbers import round_thousandths
 
 TASK_KEY = ["task_id"]
 
@@ -42,7 +43,7 @@ def fold_transitions(transitions: DataFrame) -> DataFrame:
         F.min_by(state, closing).alias("closed"),
         F.min(F.when(~attached & ~(created & (F.col("status") == "queued")), F.col("at"))).alias("started_at"))
     now = F.coalesce("closed", "open")
-    elapsed = F.greatest(_seconds(F.col("closed.at")) - _seconds(F.col("born.at")), F.lit(0.0))
+    elapsed = _seconds_between(F.col("born.at"), F.col("closed.at"))
     duration = F.when(F.col("closed").isNull(), now["duration_seconds"]).when(
         F.col("closed.kind") == "create", F.lit(0.0)).otherwise(F.coalesce("closed.duration_seconds", elapsed))
     return folded.where(F.col("born").isNotNull()).select(
@@ -53,9 +54,10 @@ def fold_transitions(transitions: DataFrame) -> DataFrame:
         now["error_code"].alias("error_code"), now["error_message"].alias("error_message"))
 
 
-def _seconds(moment: Column) -> Column:
-    """Seconds with microseconds, for a moment with or without a zone (the session runs in UTC)."""
-    return F.unix_micros(moment.cast("timestamp")) / F.lit(1e6)
+def _seconds_between(start: Column, end: Column) -> Column:
+    """Elapsed seconds, never negative; moments may come with or without a zone (the session runs in UTC)."""
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return F.greatest(micros, F.lit(0).cast("bigint")) / F.lit(1e6)
 
 
 def created_rows(requests: DataFrame) -> DataFrame:
@@ -73,8 +75,8 @@ def _updated(tasks: DataFrame) -> DataFrame:
     """Apply the joined ``new`` struct to rows it may change."""
     new, live = F.col("new"), F.col("new").isNotNull() & ~is_terminal(F.col("status"))
     done = is_terminal(new["status"])
-    duration = F.when(done & new["duration_seconds"].isNull(), F.greatest(
-        _seconds(new["at"]) - _seconds(F.col("created_at")), F.lit(0.0))).otherwise(new["duration_seconds"])
+    duration = F.when(done & new["duration_seconds"].isNull(), _seconds_between(
+        F.col("created_at"), new["at"])).otherwise(new["duration_seconds"])
 
     def put(name: str, value: Column) -> Column:
         return F.when(live, value).otherwise(F.col(name))
@@ -220,7 +222,7 @@ def latest_states(transitions: DataFrame) -> DataFrame:
 
 def status_view(states: DataFrame, now: Column) -> DataFrame:
     """Public status: elapsed seconds to three places, error split into code and message."""
-    elapsed = F.bround(F.greatest(_seconds(now) - _seconds(F.col("created_at")), F.lit(0.0)), 3)
+    elapsed = round_thousandths(_seconds_between(F.col("created_at"), now))
     failed = F.coalesce("error", F.lit("")) != ""
     return states.select(
         "document_id", "status", "stage", "progress", elapsed.alias("elapsed_seconds"),

@@ -402,7 +402,8 @@ def model_answer(spark, folder):
     quote = F.substring("text", 1, 30)
     proposals = first.select(
         F.col("doc_id").alias("q_id"),
-        F.when(F.col("doc_id") % 4 == 0, F.concat(quote, F.lit(" zzz"))).otherwise(F.upper(quote)).alias("answer"),
+        F.when(F.col("doc_id") % 4 == 0, F.concat(quote, F.lit(" zzz"))).otherwise(
+            F.concat(F.lit("“"), F.lower(quote), F.lit("”"))).alias("answer"),
         F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("P1-D1"), F.lit("X")))
         .otherwise(F.array(F.lit(" P1-D1 "))).alias("citation_ids"))
     return A.answers(rows, questions, model_answers=proposals).select(
