@@ -61,8 +61,9 @@ def casefold(value: Column) -> Column:
     case) is lower-cased only.
     """
     lowered = F.lower(value)
-    expanded = F.translate(F.replace(F.lower(F.upper(lowered)), F.lit("ß"), F.lit("ss")), "ς", "σ")
-    return F.when(value.rlike(FOLDED_LETTERS), expanded).otherwise(lowered)
+    # The replacement also keeps the optimiser from dropping the inner case change.
+    raised = F.replace(F.upper(lowered), F.lit("\u1e9e"), F.lit("SS"))
+    return F.when(value.rlike(FOLDED_LETTERS), F.translate(F.lower(raised), "ς", "σ")).otherwise(lowered)
 
 
 def collapse(value: Column) -> Column:

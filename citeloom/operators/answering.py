@@ -9,6 +9,7 @@ from citeloom.functions import fixed
 from citeloom.functions import text as T
 from citeloom.operators import retrieval as R
 from citeloom.operators.citing import check_citations, validation
+from citeloom.plans.durable import settled
 from citeloom.plans.sizing import at_most, small_side
 
 
@@ -124,22 +125,35 @@ def _cover(rows: Column) -> Column:
         F.array(F.get(rows, F.lit(0))["rank"])))
 
 
-def cited_sources(supported: DataFrame) -> DataFrame:
-    """Per question the supporting hits that end up cited, in (page, chunk id) order, each with its sentence."""
-    kept = supported.where("supported").withColumn(
-        "sentence", F.coalesce(
-            focused_evidence(F.col("question"), F.col("text")),
-            best_sentence(F.col("question_words"), F.col("text"))))
+def gathered_hits(rated: DataFrame) -> DataFrame:
+    """Per question: ``retrieved_ids`` in rank order and ``sources``, the supporting hits that end up cited.
+
+    Sources stand in (page, chunk id) order, each with its sentence; there are none where nothing supports.
+    """
+    sentence = F.when(F.col("supported"), F.coalesce(
+        focused_evidence(F.col("question"), F.col("text")),
+        best_sentence(F.col("question_words"), F.col("text"))))
     # At most k rows per question.
-    gathered = kept.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "page", "chunk_id", "lexical", "shared", "sentence"))).alias("hits"))
-    picked = gathered.withColumn("ranks", _cover(F.col("hits")))
-    chosen = F.filter("hits", lambda hit: F.array_contains(F.col("ranks"), hit["rank"]))
-    return picked.select(
-        "q_id",
-        F.array_sort(F.transform(chosen, lambda hit: F.struct(
-            hit["page"].alias("page"), hit["chunk_id"].alias("chunk_id"),
-            hit["sentence"].alias("sentence"), hit["lexical"].alias("lexical")))).alias("sources"))
+    rows = rated.withColumn("sentence", sentence).groupBy("q_id").agg(
+        F.first("doc_id").alias("home"),
+        F.array_sort(F.collect_list(F.struct(
+            "rank", "page", "chunk_id", "lexical", "shared", "sentence", "supported"))).alias("hits"))
+    supporting = F.filter("hits", lambda hit: hit["supported"])
+
+    def cited(hits: Column) -> Column:
+        return T.let(_cover(hits), lambda ranks: F.array_sort(F.transform(
+            F.filter(hits, lambda hit: F.array_contains(ranks, hit["rank"])),
+            lambda hit: F.struct(
+                hit["page"].alias("page"), hit["chunk_id"].alias("chunk_id"),
+                hit["sentence"].alias("sentence"), hit["lexical"].alias("lexical")))))
+
+    return rows.select(
+        "q_id", "home", F.transform("hits", lambda hit: hit["chunk_id"]).alias("retrieved_ids"),
+        T.let(supporting, lambda hits: F.when(F.size(hits) > 0, cited(hits))).alias("sources"))
+
+
+def cited_sources(rated: DataFrame) -> DataFrame:
+    return gathered_hits(rated).where(F.col("sources").isNotNull()).select("q_id", "sources")
 
 
 def law_identifiers(questions: DataFrame, chunk_rows: DataFrame, scope: str = "doc_id") -> DataFrame:
@@ -211,21 +225,21 @@ def answers(
     bounded = at_most(questions.select("q_id"))
     evidence = evidence_rows(ranked, chunk_rows, questions, bounded)
     rated = support(evidence, weights)
-    sources = cited_sources(rated)
-    retrieved = ranked.groupBy("q_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda row: row["chunk_id"]).alias("retrieved_ids"))
     identity = law_identifiers(questions, chunk_rows, scope)
 
     nothing = F.array().cast("array<string>")
     base = (
         questions.select("q_id").join(identity, "q_id", "left")
-        .join(sources, "q_id", "left").join(retrieved, "q_id", "left"))
+        .join(gathered_hits(rated), "q_id", "left"))
     checked_ids = F.transform("sources", lambda source: source["chunk_id"])
     base = base.withColumns({"citation_ids": checked_ids, "invalid_reasons": nothing})
+    if citation_rows is not None or model_answers is not None:
+        # Checks read these rows more than once.
+        base = settled(base)
     if citation_rows is not None:
-        base = _validated(base, ranked, chunk_rows, citation_rows)
+        base = _validated(base, chunk_rows, citation_rows)
     if model_answers is not None:
-        base = _with_model(base, rated, ranked, chunk_rows, citation_rows, model_answers)
+        base = _with_model(base, rated, chunk_rows, citation_rows, model_answers)
     else:
         base = base.withColumns({
             "model_answer": F.lit(None).cast("string"), "model_ids": nothing, "model_reasons": nothing})
@@ -257,35 +271,34 @@ def answers(
         .otherwise(F.coalesce("retrieved_ids", nothing)).alias("retrieved_ids"))
 
 
-def _claims(base: DataFrame, ranked: DataFrame, ids: str) -> DataFrame:
-    homes = ranked.groupBy("q_id").agg(F.first("doc_id").alias("doc_id"))
-    return base.join(homes, "q_id").select(F.col("q_id").alias("answer_id"), "doc_id", F.col(ids).alias("citation_ids"))
-
-
-def _validated(base: DataFrame, ranked: DataFrame, chunk_rows: DataFrame, citation_rows: DataFrame) -> DataFrame:
-    claims = _claims(base.where(F.col("sources").isNotNull()), ranked, "citation_ids")
-    seen = ranked.select(F.col("q_id").alias("answer_id"), "chunk_id")
-    verdict = validation(claims, check_citations(claims, chunk_rows, citation_rows, seen)).select(
+def _verdicts(claims: DataFrame, base: DataFrame, chunk_rows: DataFrame, citation_rows: DataFrame) -> DataFrame:
+    seen = base.select(F.col("q_id").alias("answer_id"), F.explode_outer("retrieved_ids").alias("chunk_id")).where(
+        F.col("chunk_id").isNotNull())
+    return validation(claims, check_citations(claims, chunk_rows, citation_rows, seen)).select(
         F.col("answer_id").alias("q_id"), F.col("citation_ids").alias("ok_ids"),
         F.col("invalid_reasons").alias("ok_reasons"))
-    return base.join(verdict, "q_id", "left").withColumns({
+
+
+def _validated(base: DataFrame, chunk_rows: DataFrame, citation_rows: DataFrame) -> DataFrame:
+    claims = base.where(F.col("sources").isNotNull()).select(
+        F.col("q_id").alias("answer_id"), F.col("home").alias("doc_id"), "citation_ids")
+    return base.join(_verdicts(claims, base, chunk_rows, citation_rows), "q_id", "left").withColumns({
         "citation_ids": F.coalesce("ok_ids", "citation_ids"),
         "invalid_reasons": F.coalesce("ok_reasons", "invalid_reasons"),
     }).drop("ok_ids", "ok_reasons")
 
 
 def _with_model(
-    base: DataFrame, rated: DataFrame, ranked: DataFrame, chunk_rows: DataFrame,
-    citation_rows: DataFrame | None, model_answers: DataFrame,
+    base: DataFrame, rated: DataFrame, chunk_rows: DataFrame, citation_rows: DataFrame | None,
+    model_answers: DataFrame,
 ) -> DataFrame:
     nothing = F.array().cast("array<string>")
-    claims = _claims(model_answers, ranked, "citation_ids")
-    seen = ranked.select(F.col("q_id").alias("answer_id"), "chunk_id")
     if citation_rows is None:
         citation_rows = chunk_rows.select(
             "doc_id", "chunk_id", "page", "chapter", "article", "clause", F.col("text").alias("excerpt"))
-    verdict = validation(claims, check_citations(claims, chunk_rows, citation_rows, seen)).select(
-        F.col("answer_id").alias("q_id"), F.col("citation_ids").alias("claimed"), "invalid_reasons")
+    claims = model_answers.join(base.select("q_id", "home").where(F.col("home").isNotNull()), "q_id").select(
+        F.col("q_id").alias("answer_id"), F.col("home").alias("doc_id"), "citation_ids")
+    verdict = _verdicts(claims, base, chunk_rows, citation_rows)
     quoted = T.quote_free(F.col("answer"))
     backing = (
         rated.where("supported").join(model_answers.select("q_id", "answer"), "q_id")
@@ -293,8 +306,8 @@ def _with_model(
         .groupBy("q_id").agg(F.collect_set("chunk_id").alias("backing")))
     judged = (
         model_answers.select("q_id", "answer").join(verdict, "q_id", "left").join(backing, "q_id", "left")
-        .withColumn("pruned", F.array_intersect(F.coalesce("claimed", nothing), F.coalesce("backing", nothing))))
-    reasons = F.coalesce("invalid_reasons", nothing)
+        .withColumn("pruned", F.array_intersect(F.coalesce("ok_ids", nothing), F.coalesce("backing", nothing))))
+    reasons = F.coalesce("ok_reasons", nothing)
     usable = (F.size(reasons) == 0) & (quoted != "") & (F.size("pruned") > 0)
     return base.join(judged.select(
         "q_id",

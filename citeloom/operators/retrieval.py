@@ -18,8 +18,9 @@ CHUNK_KEY = ["doc_id", "page", "chunk_id"]
 
 
 def token_sets(chunk_rows: DataFrame, scope: str = "doc_id") -> DataFrame:
-    """The forward index: one row per chunk with its distinct tokens."""
-    return chunk_rows.select(F.col(scope).alias("scope"), *CHUNK_KEY, T.token_set(F.col("text")).alias("tokens"))
+    """The forward index (scope, chunk, tokens): one row per chunk, its key as one column, its distinct tokens."""
+    return chunk_rows.select(
+        F.col(scope).alias("scope"), F.struct(*CHUNK_KEY).alias("chunk"), T.token_set(F.col("text")).alias("tokens"))
 
 
 def exploded(rows: DataFrame) -> DataFrame:
@@ -30,11 +31,11 @@ def exploded(rows: DataFrame) -> DataFrame:
 
 def postings(index: DataFrame) -> DataFrame:
     """The inverted index: (scope, token) to the chunks holding it."""
-    return exploded(index.select("scope", *CHUNK_KEY, F.size("tokens").alias("n_tokens"), "tokens"))
+    return exploded(index.select("scope", "chunk", F.size("tokens").alias("n_tokens"), "tokens"))
 
 
-def document_frequency(posting_rows: DataFrame) -> DataFrame:
-    return posting_rows.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(index: DataFrame) -> DataFrame:
+    return exploded(index.select("scope", "tokens")).groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def collection_sizes(chunk_rows: DataFrame, scope: str = "doc_id") -> DataFrame:
@@ -47,39 +48,32 @@ def question_tokens(questions: DataFrame, scope: str = "doc_id") -> DataFrame:
         "q_id", F.col(scope).alias("scope"), T.token_set(F.col("question")).alias("tokens")))
 
 
-def asked_postings(posting_rows: DataFrame, asked: DataFrame, bounded: bool) -> DataFrame:
-    """Postings of tokens some question asks for.
-
-    With few questions these are spread by chunk: what follows counts tokens and adds up chunks over the same
-    exchange, and a chunk's score is complete within one task.
-    """
-    wanted = asked.select("scope", "token").distinct()
-    hits = posting_rows.join(small_side(wanted, bounded), ["scope", "token"], "left_semi").select(
-        "scope", *CHUNK_KEY, "n_tokens", "token")
-    return hits.repartition("doc_id", "chunk_id") if bounded else hits
-
-
 def _units(df: Column, size: Column) -> Column:
     weight = F.ln((size + F.lit(1)) / (df + F.lit(0.5))) + F.lit(1.0)
     return F.round(weight * F.lit(float(WEIGHT_UNIT))).cast("bigint")
 
 
-def token_weights(hits: DataFrame, sizes: DataFrame, asked: DataFrame, bounded: bool) -> DataFrame:
+def token_weights(index: DataFrame, sizes: DataFrame, asked: DataFrame, bounded: bool) -> DataFrame:
     """(q_id, scope, token, df, units) for question tokens that occur in their collection."""
+    wanted = asked.select("scope", "token").distinct()
+    found = exploded(index.select("scope", "tokens")).join(
+        small_side(wanted, bounded), ["scope", "token"], "left_semi")
+    frequency = found.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
     # Both sides hold at most one row per question token.
     return (
-        asked.join(small_side(document_frequency(hits), bounded), ["scope", "token"])
+        asked.join(small_side(frequency, bounded), ["scope", "token"])
         .join(small_side(sizes, bounded), "scope")
         .select("q_id", "scope", "token", "df", _units(F.col("df"), F.col("n_chunks")).alias("units")))
 
 
-def scores(hits: DataFrame, weights: DataFrame, bounded: bool = False) -> DataFrame:
+def scores(index: DataFrame, weights: DataFrame, bounded: bool = False) -> DataFrame:
     """Every (question, chunk) sharing a token, with ``lexical`` = summed weight / sqrt(chunk tokens)."""
-    matched = hits.join(
+    matched = postings(index).join(
         small_side(weights.select("q_id", "scope", "token", "units"), bounded), ["scope", "token"])
-    summed = matched.groupBy("q_id", *CHUNK_KEY, "n_tokens").agg(F.sum("units").alias("units"))
+    summed = matched.groupBy("q_id", "chunk").agg(
+        F.sum("units").alias("units"), F.max("n_tokens").alias("n_tokens"))
     lexical = F.col("units") / F.lit(float(WEIGHT_UNIT)) / F.sqrt(F.greatest("n_tokens", F.lit(1)))
-    return summed.select("q_id", *CHUNK_KEY, lexical.alias("lexical"))
+    return summed.select("q_id", "chunk.*", lexical.alias("lexical"))
 
 
 def top_k(scored: DataFrame, k: int = fixed.DEFAULT_TOP_K) -> DataFrame:
@@ -93,23 +87,25 @@ def search(
     questions: DataFrame,
     k: int = fixed.DEFAULT_TOP_K,
     scope: str = "doc_id",
-    posting_rows: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked chunks per question and the token weights they were ranked with.
 
-    ``posting_rows`` may be a stored index (:func:`write_postings`); otherwise chunks are tokenised here.
+    ``index`` may be a stored one (:func:`write_index`); otherwise chunks are tokenised here.  With few questions
+    the index is spread by chunk: counting tokens and adding up scores read the same exchange, a chunk's score is
+    complete within one task, and each task passes on its best ``k`` per question only.  With many questions both
+    sides are shuffled by (scope, token).
     """
     asked = question_tokens(questions, scope)
     bounded = at_most(asked)
-    posting_rows = postings(token_sets(chunk_rows, scope)) if posting_rows is None else posting_rows
-    hits = asked_postings(posting_rows, asked, bounded)
+    index = token_sets(chunk_rows, scope) if index is None else index
+    index = index.repartition("chunk") if bounded else index
     scopes = questions.select(F.col(scope)).distinct()
     sizes = collection_sizes(chunk_rows.join(small_side(scopes, bounded), scope, "left_semi"), scope)
-    weights = token_weights(hits, sizes, asked, bounded)
-    return top_k(scores(hits, weights, bounded), k), weights
+    weights = token_weights(index, sizes, asked, bounded)
+    return top_k(scores(index, weights, bounded), k), weights
 
 
-def write_postings(chunk_rows: DataFrame, path: str, scope: str = "doc_id") -> None:
-    """Keep the inverted index as a table for later question batches, token order within files for pruning."""
-    rows = postings(token_sets(chunk_rows, scope))
-    rows.sortWithinPartitions("token", "scope").write.mode("overwrite").parquet(path)
+def write_index(chunk_rows: DataFrame, path: str, scope: str = "doc_id") -> None:
+    """Keep the forward index as a table for later question batches."""
+    token_sets(chunk_rows, scope).write.mode("overwrite").parquet(path)

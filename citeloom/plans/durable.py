@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where neither session nor context names any."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where nothing names any."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    folder = named or tempfile.mkdtemp(prefix="citeloom-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="citeloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """Write ``rows`` once so that several branches read them instead of recomputing them."""
-    checkpoint_folder(rows.sparkSession)
-    return rows.checkpoint(eager=True)
+    """Write ``rows`` once as a table in the checkpoint folder and read it from there.
+
+    Branches that share the rows then prune columns, push filters down and know the table's size.
+    """
+    spark = rows.sparkSession
+    path = f"{checkpoint_folder(spark)}/settled-{uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
