@@ -162,19 +162,18 @@ def law_identifiers(questions: DataFrame, chunk_rows: DataFrame, scope: str = "d
     Only chunks on the first page that stand outside any article, clause and point can declare the number, and
     the declared title has to be the one asked for.  Questions of any other kind are absent.
     """
-    asked = T.casefold(F.col("question"))
-    entity = F.regexp_extract(asked, IDENTITY_ASKED, 1)
-    law = F.regexp_extract(asked, LAW_ASKED, 1)
-    other_act = F.lit(False)
-    for prefix in fixed.OTHER_ACT_PREFIXES:
-        other_act = other_act | entity.startswith(prefix)
+    staged = questions.select("q_id", F.col(scope).alias("scope"), T.casefold(F.col("question")).alias("asked"))
+    staged = staged.withColumns({
+        "entity": F.regexp_extract("asked", IDENTITY_ASKED, 1), "law": F.regexp_extract("asked", LAW_ASKED, 1)})
+    entity, law = F.col("entity"), F.col("law")
+    other_act = entity.rlike("^(?:" + _either(fixed.OTHER_ACT_PREFIXES) + ")")
     named = F.size(T.words(entity)) >= 2
-    parsed = questions.select(
-        "q_id", F.col(scope).alias("scope"),
+    parsed = staged.select(
+        "q_id", "scope",
         F.when((entity != "") & ~other_act & ~(entity.startswith(fixed.LAW_PREFIX) & named), F.lit("refuse"))
         .when((entity != "") & other_act, F.lit("other"))
         .when(law == "", F.lit("other"))
-        .when(asked.rlike(LAW_HISTORY), F.lit("other"))
+        .when(F.col("asked").rlike(LAW_HISTORY), F.lit("other"))
         .when(F.size(T.words(law)) < 2, F.lit("refuse"))
         .otherwise(F.lit("law")).alias("kind"),
         T.word_title(law).alias("title")).where(F.col("kind") != "other")

@@ -67,14 +67,21 @@ def search_query(title: Column, number: Column) -> Column:
     return F.concat(F.lit('"'), target, F.lit('"' + fixed.SEARCH_SUFFIX))
 
 
-def relevant(title: Column, number: Column, found_title: Column, content: Column, url: Column) -> Column:
+def haystack_of(found_title: Column, content: Column, url: Column) -> Column:
+    return T.reference_key(F.concat_ws(" ", found_title, content, url))
+
+
+def relevant_to(title: Column, number: Column, haystack: Column) -> Column:
     """The result holds the number, or shares two long title words (all of them where the title has fewer)."""
-    haystack = T.reference_key(F.concat_ws(" ", found_title, content, url))
     number_key = T.reference_key(number)
     long_words = F.array_distinct(F.filter(F.split(T.reference_key(title), " "), lambda word: F.length(word) >= 4))
-    shared = F.size(F.array_intersect(long_words, F.split(haystack, " ")))
-    return ((number_key != "") & F.contains(haystack, number_key)) | (
-        shared >= F.least(F.lit(2), F.size(long_words)))
+    return ((number_key != "") & F.contains(haystack, number_key)) | T.let(
+        long_words, lambda words: F.size(F.array_intersect(words, F.split(haystack, " "))) >= F.least(
+            F.lit(2), F.size(words)))
+
+
+def relevant(title: Column, number: Column, found_title: Column, content: Column, url: Column) -> Column:
+    return relevant_to(title, number, haystack_of(found_title, content, url))
 
 
 def allowed_results(results: DataFrame, domains: list[str] | None = None) -> DataFrame:
@@ -87,16 +94,21 @@ def related_documents(
 ) -> DataFrame:
     """Leading mentions with their best relevant result from ``results(query, pos, title, url, content, score)``."""
     leading = leading_mentions(mention_rows, limit)
-    asked = leading.withColumn("query", search_query(F.col("title"), F.col("number")))
+    # What fits depends on title and number alone: each distinct pair meets its results once, however often
+    # documents mention it.
+    targets = leading.select("title", "number").distinct().withColumn(
+        "query", search_query(F.col("title"), F.col("number")))
     usable = allowed_results(results, domains).select(
-        "query", F.col("pos").alias("result_pos"), F.trim(F.coalesce("title", F.lit(""))).alias("result_title"),
-        F.trim("url").alias("url"), F.trim(F.coalesce("content", F.lit(""))).alias("content"),
+        "query", F.col("pos").alias("result_pos"), F.trim("url").alias("url"),
+        F.trim(F.coalesce("content", F.lit(""))).alias("content"),
+        haystack_of(F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("content", F.lit(""))), F.trim("url")
+                    ).alias("haystack"),
         F.coalesce("score", F.lit(0.0)).alias("score"))
-    fitting = asked.select("doc_id", "nth", "title", "number", "query").join(usable, "query").where(relevant(
-        F.col("title"), F.col("number"), F.col("result_title"), F.col("content"), F.col("url")))
-    best = fitting.groupBy("doc_id", "nth").agg(F.min_by(
+    fitting = targets.join(usable, "query").where(
+        relevant_to(F.col("title"), F.col("number"), F.col("haystack")))
+    best = fitting.groupBy("title", "number").agg(F.min_by(
         F.struct("url", "content"), F.struct((-F.col("score")).alias("s"), "result_pos")).alias("hit"))
-    joined = leading.join(best, ["doc_id", "nth"], "left")
+    joined = leading.join(best, ["title", "number"], "left")
     host = T.url_host(F.col("hit.url"))
     seen = F.col("hit").isNotNull()
     head = F.concat(F.lit(fixed.REASON_HEAD), F.col("page"))

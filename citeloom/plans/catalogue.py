@@ -290,10 +290,14 @@ def lexical_topk(spark, folder):
                          F.col("rank").cast("bigint").alias("rank"))
 
 
+def _questions(spark, folder):
+    return settled(C.statute_questions(spark, folder))
+
+
 @query
 def document_topk(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
-    ranked, _ = R.search(rows, C.statute_questions(spark, folder))
+    ranked, _ = R.search(rows, _questions(spark, folder))
     return long_columns(ranked.select("q_id", "chunk_id", F.round("lexical", 6).alias("score"), "rank"))
 
 
@@ -302,7 +306,7 @@ def document_topk(spark, folder):
 
 def _evidence(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
-    questions = A.valid_questions(C.statute_questions(spark, folder))
+    questions = A.valid_questions(_questions(spark, folder))
     ranked, weights = R.search(rows, questions)
     return rows, questions, ranked, weights, A.evidence_rows(ranked, rows, questions, False)
 
@@ -371,7 +375,7 @@ def _law_questions(spark, folder):
 @query
 def answer(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
-    return A.answers(rows, C.statute_questions(spark, folder)).select(
+    return A.answers(rows, _questions(spark, folder)).select(
         "q_id", "answer", joined(F.col("citation_ids")).alias("citation_ids"),
         F.round("confidence", 6).alias("confidence"), "out_of_scope",
         joined(F.col("invalid_reasons")).alias("invalid_reasons"), joined(F.col("retrieved_ids")).alias("retrieved_ids"))
@@ -382,7 +386,7 @@ def validated_answer(spark, folder):
     """Answers whose citations are re-checked against a citation table with tampered excerpts and places."""
     rows = settled(C.statute_chunks(spark, folder))
     return A.answers(
-        rows, C.statute_questions(spark, folder), citation_rows=_tampered(S.citations(rows))).select(
+        rows, _questions(spark, folder), citation_rows=_tampered(S.citations(rows))).select(
         "q_id", "answer", joined(F.col("citation_ids")).alias("citation_ids"), "out_of_scope",
         joined(F.col("invalid_reasons")).alias("invalid_reasons"))
 
@@ -397,7 +401,7 @@ def _tampered(citation_rows):
 def model_answer(spark, folder):
     """Answers with a model's proposals: some quote their source, some do not, some cite badly."""
     rows = settled(C.statute_chunks(spark, folder))
-    questions = C.statute_questions(spark, folder)
+    questions = _questions(spark, folder)
     first = rows.where("chunk_id = 'P1-D1'")
     quote = F.substring("text", 1, 30)
     proposals = first.select(
@@ -414,7 +418,7 @@ def model_answer(spark, folder):
 @query
 def question_trace(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
-    questions = A.valid_questions(C.statute_questions(spark, folder))
+    questions = A.valid_questions(_questions(spark, folder))
     ranked, _ = R.search(rows, questions)
     traced = A.traces(A.answers(rows, questions), settled(ranked), rows)
     return traced.select(
