@@ -132,10 +132,8 @@ def test_mentions(spark):
         "Căn cứ Nghị định số 13/2023/NĐ-CP về bảo vệ dữ liệu. Luật An ninh mạng (24/2018/QH14).",
         "Luật An ninh mạng và Nghị định số 13/2023/nđ-cp"])
     got = [(r.title, r.number) for r in E.mentions(rows).orderBy(*E.ORDER).collect()]
-    assert got == [
-        ("Luật An ninh mạng", "24/2018/QH14"), ("Nghị định số  về bảo vệ dữ liệu", "13/2023/NĐ-CP"),
-        ("Luật An ninh mạng và Nghị định số", "13/2023/nđ-cp"),
-    ][:2] or got[:2] == got
+    # The second chunk names the same two numbers again.
+    assert got == [("Luật An ninh mạng", "24/2018/QH14"), ("Nghị định số  về bảo vệ dữ liệu", "13/2023/NĐ-CP")]
 
 
 def test_related_documents(spark):
@@ -150,6 +148,21 @@ def test_related_documents(spark):
         ("tavily", "vbpl.gov.vn", "nội dung"), ("cited_in_document", None, "Luật An ")]
 
 
+def test_contenders_keep_every_possible_leader(spark):
+    texts = [f"thuật ngữ{i:02d} và quyền lợi" for i in range(40)] + ["thuật ngữ39"] * 60
+    rows = chunk_rows(spark, texts)
+    candidates = spark.createDataFrame(
+        [(1, i, f"ngữ{i:02d}", "x", "lý do", 95 - i, 50, [f"P1-D{i + 1}"], "nghĩa") for i in range(40)],
+        "doc_id int, pos int, term string, category string, selection_reason string, legal_salience int, "
+        "reader_difficulty int, citation_ids array<string>, explanation string")
+    none = TM.defined_terms(rows)
+    rated = TM.rated_candidates(candidates, rows, none)
+    got = [r.term for r in TM.ranked_candidates(rated, rows, none).orderBy("rank").collect()]
+    hits = [61 if i == 39 else 1 for i in range(40)]
+    score = {f"ngữ{i:02d}": 0.35 * (95 - i) + 15 + 0.2 * round(100 * hits[i] / 100) + 15 for i in range(40)}
+    assert got == sorted(score, key=lambda t: -round(score[t], 6))[:20] and "ngữ39" in got
+
+
 def test_summary_and_questions(spark):
     rows = chunk_rows(spark, ["Mở đầu.", "Phạm vi áp dụng có nghĩa vụ.", "Bị xử phạt.", "Có điều kiện."])
     picks = {r.section: r.chunk_id for r in RP.summary_picks(rows).collect()}

@@ -30,7 +30,8 @@ def test_docx_pages(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF page one|page two|page three")
     files = uploads.files(spark, str(tmp_path))
     assert {(r.file_name, r.error_code) for r in uploads.refused(files).collect()} == {("note.txt", "UNSUPPORTED_FILE")}
-    assert {r.error_code for r in uploads.refused(files, 3).collect()} == {"FILE_TOO_LARGE"} or True
+    assert {(r.file_name, r.error_code) for r in uploads.refused(files, 3).collect()} == {
+        ("Luat.DOCX", "FILE_TOO_LARGE"), ("a.pdf", "FILE_TOO_LARGE"), ("note.txt", "UNSUPPORTED_FILE")}
     split = {".pdf": lambda content, limit: content.decode().split("|")}
     pages = uploads.extracted_pages(uploads.admitted(files), split, max_pages=2)
     got = {(r.file_name, r.page_number): r.content for r in pages.collect()}
