@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where nothing names any."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where nothing names any, a single-machine session (``local[...]``) gets a temporary one; a cluster, whose executors
+    would each write to a disk of their own, gets an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="citeloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
