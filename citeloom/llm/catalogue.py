@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import exact_dedup, mixing, secret_scan, sharding
+from citeloom.llm import decontamination, exact_dedup, mixing, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,45 @@ def op8_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "sub")
 
 
+@query
+def op9_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = decontamination.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op9_winnowing"] = r"""
+WITH lowered AS (
+    SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, doc_id,
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    UNION ALL
+    SELECT 'b', CAST(item_id AS VARCHAR), NULL,
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+worded AS (
+    SELECT side, id, doc_id, regexp_extract_all(coalesce(t, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM lowered),
+asked AS (
+    SELECT DISTINCT id AS item, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram
+    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM worded
+          WHERE side = 'b' AND len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM asked),
+had AS (
+    SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, sizes
+          WHERE side = 'd' AND len(w) >= size)),
+met AS (SELECT doc_id, i, had.size, item FROM had JOIN asked ON had.gram = asked.gram AND had.size = asked.size),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM met) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM worded w LEFT JOIN hit ON w.doc_id = hit.doc_id LEFT JOIN listed ON w.doc_id = listed.doc_id
+WHERE side = 'd'"""
+
+
 @query
 def op10_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, folder, "documents"))

@@ -81,6 +81,7 @@ def row_runs(offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int
 def hashed_words(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, number of words per text) for texts that lie one after the other in ``data``."""
     n = len(data)
+    data = LOWER[data]
     inside = kind[data]
     before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -89,7 +90,7 @@ def hashed_words(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tupl
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * down[:n], out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[:n], out=sums[1:])
     words = scrambled((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64) * MULTIPLIER)
     return words, np.diff(np.searchsorted(starts, bounds))
 
