@@ -39,9 +39,8 @@ def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 def cut_slots(rows: DataFrame, shards: int, slots: int = SLOTS, per_shard: int = SUBSLOTS_PER_SHARD) -> DataFrame:
     """(vslot, parts): into how many sub-slots each slot is cut; at most slots + per_shard * shards together."""
     loads = settled(rows.groupBy("vslot").agg(F.sum("size").alias("bytes")))
-    total = loads.agg(F.sum("bytes").alias("total"))
-    part = F.greatest(F.col("total") / F.lit(shards * per_shard), F.lit(1.0))
-    return loads.join(F.broadcast(total)).select("vslot", F.ceil(F.col("bytes") / part).cast("int").alias("parts"))
+    part = max((loads.agg(F.sum("bytes")).first()[0] or 0) / (shards * per_shard), 1.0)
+    return loads.select("vslot", F.ceil(F.col("bytes") / F.lit(part)).cast("int").alias("parts"))
 
 
 def assigned(loads: dict[tuple[int, int], int], shards: int, previous: dict[tuple[int, int], int] | None = None,
