@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import decontamination, exact_dedup, mixing, ngram_join, secret_scan, sharding, suffix_dedup
+from citeloom.llm import decontamination, exact_dedup, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def sites() -> dict[str, Column]:
+    """``documents`` name no address: the source stands for the host, its part in one language for the path."""
+    return {"host": F.col("source"), "path": F.col("lang")}
+
+
+@query
+def op1_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"), **sites())
+    return rows.select("doc_id", "p_low", "p_toxic", "e_low", "e_toxic", "keep")
+
+
 @query
 def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"), **MIX)
