@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import decontamination, exact_dedup, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup
+from citeloom.llm import decontamination, exact_dedup, lm_scoring, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,33 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"), **MIX)
 
 
+@query
+def op4_backoff_score(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lm_scoring.scored(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"),
+                       F.round(F.col("log_score") / F.col("n_tokens"), 4).alias("mean_log_score"))
+
+
+ORACLES["op4_backoff_score"] = r"""
+WITH worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spot AS (SELECT doc_id, w[i] AS w, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS v
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM worded)),
+word AS (SELECT w, count(*) AS n FROM spot GROUP BY w UNION ALL SELECT ' ', count(*) FROM worded WHERE len(w) > 0),
+own AS (SELECT doc_id, w, count(*) AS n FROM spot GROUP BY ALL UNION ALL SELECT doc_id, ' ', 1 FROM worded),
+own_pair AS (SELECT doc_id, v, w, count(*) AS n FROM spot GROUP BY ALL),
+pair AS (SELECT v, w, sum(n) AS n FROM own_pair GROUP BY ALL),
+score AS (
+    SELECT p.doc_id, sum(p.n * CASE WHEN a.n > p.n THEN ln(a.n - p.n) - ln(v.n - o.n)
+        ELSE ln(0.4) + ln(w.n) - ln((SELECT count(*) FROM spot)) END) AS s
+    FROM own_pair p JOIN pair a ON a.v = p.v AND a.w = p.w JOIN word v ON v.w = p.v JOIN word w ON w.w = p.w
+    JOIN own o ON o.doc_id = p.doc_id AND o.w = p.v GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, round(coalesce(s, 0), 3) AS log_score,
+    CASE WHEN len(d.w) > 0 THEN round(coalesce(s, 0) / len(d.w), 4) END AS mean_log_score
+FROM worded d LEFT JOIN score ON score.doc_id = d.doc_id"""
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicated(table(spark, folder, "documents"))

@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from citeloom.llm.shared import (
     MULTIPLIER, SPACE_WORDS, components, row_identity, scrambled, settled, shingle_sets, words_by_row)
 
-BATCH_TOKENS = 3_000_000
-BUCKET_BYTES = 12 << 20
+BATCH_TOKENS = 1_500_000
+BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 24
 FREQUENT_IN_BATCH = 64
 DF_CAP = 255
-TILE = 1024
+#: Sets of a block on one side of a tile, for blocks of up to TILE^2 sets and for larger ones.
+TILE, LARGE_TILE = 128, 1024
 ORDERS = 3
 SPREAD = 1 << 10
 
@@ -343,7 +344,7 @@ def joined(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     near = posts.join(hubs, "token").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     blocks = settled(components(near))
     counts = settled(blocks.groupBy("component").agg(F.count("*").alias("members")))
-    parts = F.ceil(F.col("members") / TILE)
+    parts = F.least(F.ceil(F.col("members") / TILE), F.greatest(F.lit(TILE), F.ceil(F.col("members") / LARGE_TILE)))
     side = F.pmod(F.xxhash64("key"), parts)
     placed = blocks.join(counts, "component").withColumnRenamed("node", "key").select(
         "key", "component", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
