@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import decontamination, exact_dedup, lm_scoring, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup
+from citeloom.llm import decontamination, exact_dedup, license_scan, lm_scoring, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,50 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"), **MIX)
 
 
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = license_scan.matched(table(spark, folder, "documents"))
+    listed = F.transform("matches", lambda m: F.concat_ws(
+        ":", m["license"], F.floor(m["containment"] * 1000).cast("bigint"), m["word"]))
+    return rows.select("doc_id", F.size("matches").cast("bigint").alias("n_licenses"),
+                       F.array_join(listed, ",").alias("licenses"))
+
+
+def _license_sql() -> str:
+    notices = ", ".join("('{}', '{}')".format(*[x.replace("'", "''") for x in pair]) for pair in license_scan.NOTICES)
+    return rf"""
+WITH notice(license, text) AS (VALUES {notices}),
+worded AS (
+    SELECT doc_id, NULL AS license, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents
+    UNION ALL SELECT NULL, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') FROM notice),
+shingle AS (
+    SELECT doc_id, license, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, license, w, unnest(range(1, len(w) - 3)) AS i FROM worded)),
+own AS (SELECT DISTINCT license, s FROM shingle WHERE license IS NOT NULL),
+kind AS (
+    SELECT license, m, CASE WHEN m > 1 THEN greatest(4, CAST(pow(2, ceil(log2((m - 1) / 0.75 + 1e-9))) AS INTEGER))
+        ELSE 4 END AS size FROM (SELECT license, count(*) AS m FROM own GROUP BY license)),
+met AS (SELECT d.doc_id, own.license, d.p, d.s, m, size, size // 4 AS step
+        FROM shingle d JOIN own USING (s) JOIN kind ON kind.license = own.license WHERE d.doc_id IS NOT NULL),
+windowed AS (
+    SELECT doc_id, license, m, s, p, size, step, k * step AS start
+    FROM (SELECT *, unnest(range(greatest(0, p // step - 4), p // step + 1)) AS k FROM met)),
+contained AS (
+    SELECT doc_id, license, start, count(DISTINCT s) / m AS c FROM windowed WHERE p < start + size
+    GROUP BY doc_id, license, m, start),
+best AS (
+    SELECT doc_id, license, c, start FROM contained
+    WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY c DESC, start) = 1),
+listed AS (
+    SELECT doc_id, count(*) AS n, string_agg(license || ':' || CAST(floor(c * 1000) AS BIGINT) || ':' || start, ','
+        ORDER BY license) AS t FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(t, '') AS licenses
+FROM documents LEFT JOIN listed USING (doc_id)"""
+
+
+ORACLES["op3_license_scan"] = _license_sql()
+
+
 @query
 def op4_backoff_score(spark: SparkSession, folder: str) -> DataFrame:
     rows = lm_scoring.scored(table(spark, folder, "documents"))
