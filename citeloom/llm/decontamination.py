@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import ALNUM_WORDS, MULTIPLIER, grams, row_identity, scrambled, settled, words_by_row
+from citeloom.llm.shared import in_small_batches, ALNUM_WORDS, MULTIPLIER, grams, row_identity, scrambled, settled, words_by_row
 
 WINDOW = 13
 RUN = 7
@@ -124,7 +124,7 @@ def candidates(docs: DataFrame, filled: np.ndarray, short: list[int], width: int
 
     rows = docs.select("doc_id", row_identity("doc_id", "text").alias("who"), "text")
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(work, f"doc_id {kind}, who bigint, n_words bigint, hits {HITS}")
+    return in_small_batches(rows).mapInArrow(work, f"doc_id {kind}, who bigint, n_words bigint, hits {HITS}")
 
 
 def judged(docs: DataFrame, items: DataFrame, width: int = WINDOW, run: int = RUN, bits: int = BITMAP_BITS) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import settled, text_bytes
+from citeloom.llm.shared import in_small_batches, settled, text_bytes
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1540483477)
@@ -67,7 +67,7 @@ def _hashes(primes: tuple[int, int]):
 
 def fingerprinted(docs: DataFrame, huge_bytes: int = HUGE_BYTES, primes: tuple[int, int] = PRIMES) -> DataFrame:
     """``docs``(doc_id, text) with ``fp``, ``n_bytes`` and ``sha``; the text of huge rows goes through chunk tasks."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("sha", F.sha2("text", 256))
     hashes, length = _hashes(primes), F.octet_length("text")
     packed = F.shiftleft(F.col("p.h1"), 31).bitwiseOR(F.col("p.h2"))

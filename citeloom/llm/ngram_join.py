@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.shared import (
-    MULTIPLIER, SPACE_WORDS, components, row_identity, scrambled, settled, shingle_sets, words_by_row)
+    in_small_batches, MULTIPLIER, SPACE_WORDS, components, row_identity, scrambled, settled, shingle_sets, words_by_row)
 
 BATCH_TOKENS = 1_500_000
 BUCKET_BYTES = 8 << 20
@@ -68,7 +68,7 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "who", "n", "key"])
 
     rows = docs.select("doc_id", row_identity("doc_id", "text").alias("who"), "text")
-    return rows.mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, who bigint, n bigint, key bigint")
+    return in_small_batches(rows).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, who bigint, n bigint, key bigint")
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -154,7 +154,7 @@ def packed_tokens(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if n:
             yield emit(held)
 
-    return docs.select("text").mapInArrow(work, PACKED)
+    return in_small_batches(docs.select("text")).mapInArrow(work, PACKED)
 
 
 def _shared(table: pa.Table, buckets: int) -> pa.Table:

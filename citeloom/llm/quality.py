@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.shared import (
-    ALNUM_WORDS, MULTIPLIER, SPACE_WORDS, hashed_words, row_identity, row_runs, scrambled, settled, text_bytes)
+    in_small_batches, ALNUM_WORDS, MULTIPLIER, SPACE_WORDS, hashed_words, row_identity, row_runs, scrambled, settled, text_bytes)
 
 #: Most labelled rows that the document model is fitted on.
 SAMPLE = 20_000
@@ -230,7 +230,7 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
     site = [F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string"))) for c in (host, path)]
     rows = docs.select("doc_id", row_identity("doc_id", "text").alias("who"), site[0].alias("host"),
                        site[1].alias("path"), "text")
-    return rows.mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, who bigint, host string, path string, "
+    return in_small_batches(rows).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, who bigint, host string, path string, "
                                  "e_low double, e_toxic double")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from citeloom.plans.durable import checkpoint_folder, settled  # noqa: F401
 
 PIECE_BYTES = 2 << 20
+ARROW_BYTES = 8 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -38,6 +39,12 @@ def with_columns(rows: DataFrame, **types: str) -> DataFrame:
     return rows.withColumns({n: F.lit(None).cast(t) for n, t in types.items() if n not in rows.columns})
 
 
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session whose Arrow batches are bounded in bytes as well as in rows: texts can be long."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return rows
+
+
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``length`` of each."""
     if not _powers or len(_powers[0]) < length:
@@ -62,11 +69,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """(bytes, offsets) of an Arrow text column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    if column.null_count:
+        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    offsets = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    return data[offsets[0]:offsets[-1]] if len(offsets) else data, offsets - offsets[0]
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
 def row_runs(offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:

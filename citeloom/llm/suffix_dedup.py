@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import powers, row_identity, row_runs, scrambled, settled, text_bytes
+from citeloom.llm.shared import in_small_batches, powers, row_identity, row_runs, scrambled, settled, text_bytes
 
 LEAST = 400
 GRAM = 128
@@ -122,7 +122,7 @@ def occurrences(docs: DataFrame, least: int, gram: int) -> DataFrame:
                     names=["who", "anchor", "context", "first", "last"])
 
     rows = docs.select(row_identity("doc_id", "text").alias("who"), "text")
-    return rows.mapInArrow(work, "who bigint, anchor bigint, context bigint, first int, last int")
+    return in_small_batches(rows).mapInArrow(work, "who bigint, anchor bigint, context bigint, first int, last int")
 
 
 def suffix_runs(data: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
