@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import in_small_batches, ALNUM_WORDS, MULTIPLIER, grams, row_identity, scrambled, settled, words_by_row
+from citeloom.llm.shared import carried, in_small_batches, ALNUM_WORDS, MULTIPLIER, grams, row_identity, scrambled, settled, words_by_row
 
 WINDOW = 13
 RUN = 7
@@ -153,6 +153,5 @@ def judged(docs: DataFrame, items: DataFrame, width: int = WINDOW, run: int = RU
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    bad = settled(judged(docs, items).where("contaminated").select(F.col("who").alias("_who")).distinct())
-    return docs.withColumn("_who", row_identity("doc_id", "text")).join(bad, "_who", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    bad = settled(judged(docs, items).where("contaminated").select("who").distinct())
+    return carried(docs).join(bad, "who", "left_anti").select("row.*")

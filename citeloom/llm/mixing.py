@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import settled
+from citeloom.llm.shared import row_identity, settled
 
 #: Words that the knapsack may have to fit, beyond the longest document it uses.
 STRETCH = 1 << 14
@@ -154,10 +154,10 @@ def copies(rows: DataFrame, aims: DataFrame, seed: int = 0) -> DataFrame:
         *names, (F.col("whole") + F.col("once")).cast("int").alias("copies"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({
-        "_mix_skey": _source_key(), "_mix_size": word_count(F.col("text")),
-        "_mix_who": F.xxhash64("doc_id", "text")})
+def marks() -> list[Column]:
+    """A row's source key, size and identity."""
+    return [_source_key().alias("skey"), word_count(F.col("text")).alias("size"),
+            row_identity("doc_id", "text").alias("who")]
 
 
 def totals_of(narrow: DataFrame) -> DataFrame:
@@ -174,21 +174,18 @@ def ranked_weights(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int = 0) -> DataFrame:
     """``docs`` with every row as often as the mix takes it, and its former columns only."""
-    rows = sized(docs)
-    narrow = settled(rows.select(
-        F.col("_mix_skey").alias("skey"), F.col("_mix_size").alias("size"), F.col("_mix_who").alias("who")))
+    narrow = settled(docs.select(*marks()))
     aims = settled(targets(ranked_weights(totals_of(narrow), weights), share, most))
     # the table's own columns travel as one, so that their names cannot clash
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("_mix_skey").alias(
-        "skey"), F.col("_mix_size").alias("size"), F.col("_mix_who").alias("who"))
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *marks())
     chosen = copies(packed, aims, seed).where("copies > 0")
     return chosen.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
 def taken(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies), one row per row of ``docs``(doc_id, text, source)."""
-    narrow = settled(sized(docs).select(
-        "doc_id", F.col("_mix_skey").alias("skey"), F.col("_mix_size").alias("size"), F.col("_mix_who").alias("who")))
+    narrow = settled(docs.select("doc_id", *marks()))
     aims = settled(targets(ranked_weights(totals_of(narrow), weights), share, most))
     chosen = copies(narrow, aims, seed)
     return chosen.join(aims, "skey").select(

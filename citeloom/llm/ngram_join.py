@@ -26,11 +26,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.shared import (
-    in_small_batches, MULTIPLIER, SPACE_WORDS, components, row_identity, scrambled, settled, shingle_sets, words_by_row)
+    carried, in_small_batches, MULTIPLIER, SPACE_WORDS, components, row_identity, scrambled, settled, shingle_sets, words_by_row)
 
 BATCH_TOKENS = 1_500_000
 BUCKET_BYTES = 8 << 20
@@ -367,10 +367,11 @@ def joined(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def representatives(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest doc_id; rows without words all stay."""
+    """``docs`` with one row of each class, that of the smallest doc_id; documents without words all stay.  Of rows that
+    repeat both doc_id and text one stays."""
     rows = settled(joined(docs, width, num, den))
     worded = rows.where("n_shingles > 0").groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "who")).alias("top")).select("top.who")
-    stays = settled(worded.union(rows.where("n_shingles = 0").select("who")).distinct().withColumnRenamed("who", "_who"))
-    first = docs.withColumn("_who", row_identity("doc_id", "text")).join(stays, "_who", "left_semi")
-    return first.select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = settled(worded.union(rows.where("n_shingles = 0").select("who")).distinct())
+    copy = F.row_number().over(Window.partitionBy("who").orderBy(F.lit(0)))
+    return carried(docs).join(stays, "who", "left_semi").withColumn("copy", copy).where("copy = 1").select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.shared import (
-    in_small_batches, ALNUM_WORDS, MULTIPLIER, SPACE_WORDS, hashed_words, row_identity, row_runs, scrambled, settled, text_bytes)
+    carried, in_small_batches, ALNUM_WORDS, MULTIPLIER, SPACE_WORDS, hashed_words, row_identity, row_runs, scrambled, settled, text_bytes)
 
 #: Most labelled rows that the document model is fitted on.
 SAMPLE = 20_000
@@ -294,6 +294,5 @@ def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, m
 
 def accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """``docs`` without the rejected rows."""
-    bad = settled(classified(docs, labels, host, path).where("NOT keep").select(F.col("who").alias("_who")).distinct())
-    return docs.withColumn("_who", row_identity("doc_id", "text")).join(bad, "_who", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    bad = settled(classified(docs, labels, host, path).where("NOT keep").select("who").distinct())
+    return carried(docs).join(bad, "who", "left_anti").select("row.*")

@@ -28,12 +28,12 @@ def slot_of(text: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit("slot")), F.lit(slots)).cast("int")
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot, who): all that placing a row needs."""
+def slotted(docs: DataFrame, slots: int = SLOTS, *more: Column) -> DataFrame:
+    """(doc_id, size, text_crc32, vslot, who) and ``more``: all that placing a row needs."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
-        slot_of(F.col("text"), slots).alias("vslot"), row_identity("doc_id", "text").alias("who"))
+        slot_of(F.col("text"), slots).alias("vslot"), row_identity("doc_id", "text").alias("who"), *more)
 
 
 def cut_slots(rows: DataFrame, shards: int, slots: int = SLOTS, per_shard: int = SUBSLOTS_PER_SHARD) -> DataFrame:
@@ -111,43 +111,42 @@ def rebalanced(spark: SparkSession, folder: str, loads: DataFrame, shards: int)
     return version
 
 
-def sharded(docs: DataFrame, shards: int, folder: str | None = None, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot, sub, shard, slot), one row per row of ``docs``(doc_id, text).
+def placed(rows: DataFrame, narrow: DataFrame, shards: int, folder: str | None = None,
+           slots: int = SLOTS) -> DataFrame:
+    """``rows`` of ``slotted`` with sub, shard and slot; ``narrow`` are the same rows without further columns.
 
     ``slot`` is the gapless position in the shard: the rows of the shard's slots before it plus the rank in the slot, so
     that no window is larger than a sub-slot.  ``folder`` keeps the slot map between runs.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     folder = folder or f"{checkpoint_folder(spark)}/slot-map-{uuid4().hex}"
-    rows = settled(slotted(docs, slots))
-    parts = cut_slots(rows, shards, slots)
-    # at most ``slots`` rows of two numbers
-    placed = rows.join(F.broadcast(parts), "vslot").withColumn(
-        "sub", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("who", F.lit("sub")), "parts")).otherwise(0).cast("int"))
-    loads = settled(placed.groupBy("vslot", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    parts = settled(cut_slots(narrow, shards, slots))
+
+    def with_sub(given: DataFrame) -> DataFrame:
+        sub = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("who", F.lit("sub")), "parts")).otherwise(0).cast("int")
+        return given.join(F.broadcast(parts), "vslot").withColumn("sub", sub)  # at most ``slots`` rows of two numbers
+
+    loads = settled(with_sub(narrow).groupBy("vslot", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     version = rebalanced(spark, folder, loads, shards)
     chosen = map_at(spark, folder, version).select("vslot", "sub", "shard")
     before = Window.partitionBy("shard").orderBy("vslot", "sub").rowsBetween(Window.unboundedPreceding, -1)
     bases = loads.join(chosen, ["vslot", "sub"]).select(
         "vslot", "sub", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("vslot", "sub").orderBy(F.col("doc_id").asc_nulls_first(), "who")
-    ranked = placed.withColumn("rank", F.row_number().over(inside))
+    ranked = with_sub(rows).withColumn("rank", F.row_number().over(inside))
     # at most slots + per_shard * shards rows
-    return ranked.join(F.broadcast(bases), ["vslot", "sub"]).select(
-        "doc_id", "size", "text_crc32", "vslot", "sub", "shard",
-        (F.col("base") + F.col("rank") - 1).cast("bigint").alias("slot"), "who")
-
-
-def sharded_documents(docs: DataFrame, shards: int, folder: str | None = None) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``; the j-th of identical rows gets the j-th of their positions."""
-    order = Window.partitionBy("who").orderBy("slot")
-    places = sharded(docs, shards, folder).select(
-        "who", "shard", "slot", "size").withColumn("copy", F.row_number().over(order))
-    own = Window.partitionBy("_who").orderBy(F.lit(0))
-    rows = docs.withColumn("_who", row_identity("doc_id", "text")).withColumn("_copy", F.row_number().over(own))
-    taken = places.select(
-        F.col("who").alias("_who"), F.col("copy").alias("_copy"), F.col("shard").alias("_shard"),
-        F.col("slot").alias("_slot"), F.col("size").alias("_size"))
-    joined = rows.join(taken, ["_who", "_copy"]).drop("_who", "_copy")
-    return joined.drop("shard", "slot", "size").withColumnsRenamed(
-        {"_shard": "shard", "_slot": "slot", "_size": "size"})
+    return ranked.join(F.broadcast(bases), ["vslot", "sub"]).withColumn(
+        "slot", (F.col("base") + F.col("rank") - 1).cast("bigint")).drop("parts", "base", "rank")
+
+
+def sharded(docs: DataFrame, shards: int, folder: str | None = None, slots: int = SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, vslot, who, sub, shard, slot), one row per row of ``docs``(doc_id, text)."""
+    rows = settled(slotted(docs, slots))
+    return placed(rows, rows, shards, folder, slots)
+
+
+def sharded_documents(docs: DataFrame, shards: int, folder: str | None = None, slots: int = SLOTS) -> DataFrame:
+    """``docs`` with ``shard``, ``slot`` and ``size``, in place of columns of these names."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot", "size")]).alias("row")
+    rows = placed(slotted(docs, slots, own), settled(slotted(docs, slots)), shards, folder, slots)
+    return rows.select("row.*", "shard", "slot", "size")

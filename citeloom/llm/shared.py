@@ -34,9 +34,10 @@ def row_identity(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
 
 
-def with_columns(rows: DataFrame, **types: str) -> DataFrame:
-    """``rows`` with missing columns added as typed nulls, so that operators accept thinner tables."""
-    return rows.withColumns({n: F.lit(None).cast(t) for n, t in types.items() if n not in rows.columns})
+def carried(docs: DataFrame) -> DataFrame:
+    """(row, who): all columns of ``docs`` as one, so that no name can clash, and the identity of (doc_id, text)."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       row_identity("doc_id", "text").alias("who"))
 
 
 def in_small_batches(rows: DataFrame) -> DataFrame:
