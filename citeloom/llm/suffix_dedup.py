@@ -242,8 +242,9 @@ def repeated_windows(docs: DataFrame, least: int = LEAST, gram: int = GRAM, keep
     """
     kind = dict(docs.dtypes)["doc_id"]
     found = settled(occurrences(docs, least, gram))
-    repeated = settled(found.join(found.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select(
-        "anchor"), "anchor"))
+    # written first: a join of two plain exchanges can be split where an anchor is hot
+    counted = settled(found.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor"))
+    repeated = settled(found.join(counted, "anchor"))
     contexts = settled(repeated.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("who", "first", "last")).alias("at")))
     kinds = settled(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
@@ -270,11 +271,10 @@ def repeated_windows(docs: DataFrame, least: int = LEAST, gram: int = GRAM, keep
         lambda b: _crowded(b, least), f"doc_id {kind}, who bigint, low int, window bigint"))
     tops = settled(single.groupBy("window").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "who", "low")).alias("top")).where("n > 1"))
-    counted = single.join(tops, "window")
+    again = single.join(tops, "window")
     if keep_first:
-        counted = counted.where((F.col("who") != F.col("top.who")) | (F.col("low") != F.col("top.low")))
-    counted = counted.select("who", "low", F.col("low").alias("high"))
-    return whole.unionByName(sorted_out).unionByName(counted)
+        again = again.where((F.col("who") != F.col("top.who")) | (F.col("low") != F.col("top.low")))
+    return whole.unionByName(sorted_out).unionByName(again.select("who", "low", F.col("low").alias("high")))
 
 
 def _remove(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
