@@ -102,27 +102,29 @@ def anchors(data: np.ndarray, bounds: np.ndarray, least: int, gram: int) -> Iter
 
 
 def occurrences(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(who, anchor, context, first, last): the windows of every text, grouped by anchor."""
+    """(doc_id, who, anchor, context, first, last): the windows of every text, grouped by anchor."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            who = batch.column(0).to_numpy()
+            data, offsets = text_bytes(batch.column(2))
+            who = batch.column(1).to_numpy()
             for low, high in row_runs(offsets):
                 part = data[offsets[low]:offsets[high]]
                 view = memoryview(part)
                 bounds = offsets[low:high + 1] - offsets[low]
-                rows: list[list] = [[] for _ in range(5)]
+                rows: list[list] = [[] for _ in range(6)]
                 for t, value, first, last in anchors(part, bounds, least, gram):
                     base = int(bounds[t])
                     for values, v in zip(rows, (
-                            who[low + t], value - (1 << 63), digest(view[base + first:base + last + least]), first, last)):
+                            low + t, who[low + t], value - (1 << 63), digest(view[base + first:base + last + least]), first, last)):
                         values.append(v)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(v, k) for v, k in zip(rows, (pa.int64(),) * 3 + (pa.int32(),) * 2)],
-                    names=["who", "anchor", "context", "first", "last"])
+                    batch.column(0).take(pa.array(rows[0], pa.int64())),
+                    *[pa.array(v, k) for v, k in zip(rows[1:], (pa.int64(),) * 3 + (pa.int32(),) * 2)]],
+                    names=["doc_id", "who", "anchor", "context", "first", "last"])
 
-    rows = docs.select(row_identity("doc_id", "text").alias("who"), "text")
-    return in_small_batches(rows).mapInArrow(work, "who bigint, anchor bigint, context bigint, first int, last int")
+    rows = docs.select("doc_id", row_identity("doc_id", "text").alias("who"), "text")
+    return in_small_batches(rows).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, who bigint, anchor bigint, "
+                                                   "context bigint, first int, last int")
 
 
 def suffix_runs(data: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
@@ -246,7 +248,7 @@ def repeated_windows(docs: DataFrame, least: int = LEAST, gram: int = GRAM, keep
     counted = settled(found.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor"))
     repeated = settled(found.join(counted, "anchor"))
     contexts = settled(repeated.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("who", "first", "last")).alias("at")))
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "who", "first", "last")).alias("at")))
     kinds = settled(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     again = settled(contexts.where("n > 1").select("anchor", "context", "at"))
     whole = repeated.join(again, ["anchor", "context"])
