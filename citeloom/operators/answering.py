@@ -10,7 +10,6 @@ from citeloom.functions import text as T
 from citeloom.operators import retrieval as R
 from citeloom.operators.citing import check_citations, validation
 from citeloom.plans.durable import settled
-from citeloom.plans.sizing import at_most, small_side
 
 
 def _either(choices: list[str]) -> str:
@@ -75,13 +74,11 @@ def best_sentence(question_words: Column, text: Column) -> Column:
     return T.let(best, lambda top: F.when(top["shared"] > 0, top["sentence"]).otherwise(text))
 
 
-def evidence_rows(ranked: DataFrame, chunk_rows: DataFrame, questions: DataFrame, bounded: bool) -> DataFrame:
+def evidence_rows(ranked: DataFrame, chunk_rows: DataFrame, questions: DataFrame) -> DataFrame:
     """Ranked hits with question, chunk text and the chunk's own tokens."""
     hits = ranked.select("q_id", "doc_id", "page", "chunk_id", "lexical", "rank")
     texts = chunk_rows.select("doc_id", "chunk_id", "text", "article", "clause")
-    return (
-        texts.join(small_side(hits, bounded), ["doc_id", "chunk_id"])
-        .join(small_side(questions.select("q_id", "question"), bounded), "q_id"))
+    return texts.join(hits, ["doc_id", "chunk_id"]).join(questions.select("q_id", "question"), "q_id")
 
 
 def support(evidence: DataFrame, weights: DataFrame) -> DataFrame:
@@ -190,20 +187,21 @@ def law_identifiers(questions: DataFrame, chunk_rows: DataFrame, scope: str = "d
     after = F.regexp_replace(F.col("text"), r"(?s)^.*?" + LAW_NUMBER, "")
     title = F.regexp_extract(F.substring(after, 1, 300), LAW_TITLE, 0)
     declared = front.select(
-        "scope", "page", "chunk_id", number.alias("identifier"), T.word_title(title).alias("title")
+        "scope", "doc_id", "page", "chunk_id", number.alias("identifier"), T.word_title(title).alias("title")
     ).where(F.col("title") != "")
     found = (
         parsed.where(F.col("kind") == "law").join(declared, ["scope", "title"])
         .groupBy("q_id").agg(
-            F.min(F.struct("page", "chunk_id", "identifier")).alias("first"),
+            F.min(F.struct("page", "chunk_id", "identifier", "doc_id")).alias("first"),
             F.min("identifier").alias("low"), F.max("identifier").alias("high")))
     refused = parsed.where(F.col("kind") == "refuse").select(
         "q_id", F.lit(None).cast("string").alias("identifier"), F.lit(None).cast("string").alias("identity_chunk"),
-        F.lit(True).alias("refused"))
+        F.lit(True).alias("refused"), F.lit(None).cast(dict(chunk_rows.dtypes)["doc_id"]).alias("identity_doc"))
     clear = F.col("low") == F.col("high")
     return refused.unionByName(found.select(
         "q_id", F.when(clear, F.col("first.identifier")).alias("identifier"),
-        F.when(clear, F.col("first.chunk_id")).alias("identity_chunk"), (~clear).alias("refused")))
+        F.when(clear, F.col("first.chunk_id")).alias("identity_chunk"), (~clear).alias("refused"),
+        F.when(clear, F.col("first.doc_id")).alias("identity_doc")))
 
 
 def answers(
@@ -221,8 +219,7 @@ def answers(
     """
     questions = valid_questions(questions)
     ranked, weights = R.search(chunk_rows, questions, k, scope)
-    bounded = at_most(questions.select("q_id"))
-    evidence = evidence_rows(ranked, chunk_rows, questions, bounded)
+    evidence = evidence_rows(ranked, chunk_rows, questions)
     rated = support(evidence, weights)
     identity = law_identifiers(questions, chunk_rows, scope)
 
@@ -236,7 +233,7 @@ def answers(
         # Checks read these rows more than once.
         base = settled(base)
     if citation_rows is not None:
-        base = _validated(base, chunk_rows, citation_rows)
+        base = _validated(_identified(base, chunk_rows, citation_rows), chunk_rows, citation_rows)
     if model_answers is not None:
         base = _with_model(base, rated, chunk_rows, citation_rows, model_answers)
     else:
@@ -278,6 +275,19 @@ def _verdicts(claims: DataFrame, base: DataFrame, chunk_rows: DataFrame, citatio
         F.col("invalid_reasons").alias("ok_reasons"))
 
 
+def _identified(base: DataFrame, chunk_rows: DataFrame, citation_rows: DataFrame) -> DataFrame:
+    """A declared number whose citation does not hold is refused, like any other bad identity."""
+    claims = base.where(F.col("identifier").isNotNull()).select(
+        F.col("q_id").alias("answer_id"), F.col("identity_doc").alias("doc_id"),
+        F.array("identity_chunk").alias("citation_ids"))
+    bad = validation(claims, check_citations(claims, chunk_rows, citation_rows)).where(~F.col("valid")).select(
+        F.col("answer_id").alias("q_id"), F.lit(True).alias("broken"))
+    broken = F.col("broken").isNotNull()
+    return base.join(bad, "q_id", "left").withColumns({
+        "identifier": F.when(~broken, F.col("identifier")), "identity_chunk": F.when(~broken, F.col("identity_chunk")),
+        "refused": F.coalesce("refused", F.lit(False)) | broken}).drop("broken")
+
+
 def _validated(base: DataFrame, chunk_rows: DataFrame, citation_rows: DataFrame) -> DataFrame:
     claims = base.where(F.col("sources").isNotNull()).select(
         F.col("q_id").alias("answer_id"), F.col("home").alias("doc_id"), "citation_ids")
@@ -317,11 +327,15 @@ def _with_model(
             "model_ids": F.coalesce("model_ids", nothing), "model_reasons": F.coalesce("model_reasons", nothing)})
 
 
-def traces(answer_rows: DataFrame, ranked: DataFrame, chunk_rows: DataFrame) -> DataFrame:
-    """What each answer had in front of it: ids, texts and the constant zero scores of the public trace."""
-    texts = ranked.join(chunk_rows.select("doc_id", "chunk_id", "text"), ["doc_id", "chunk_id"])
+def traces(answer_rows: DataFrame, questions: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    """What each answer had in front of it: its retrieved ids, their texts in that order (none where nothing was
+    retrieved) and the constant zero scores of the public trace.  ``questions(q_id, doc_id)`` names the document."""
+    had = answer_rows.select("q_id", F.posexplode("retrieved_ids").alias("rank", "chunk_id")).join(
+        questions.select("q_id", "doc_id"), "q_id")
+    texts = had.join(chunk_rows.select("doc_id", "chunk_id", "text"), ["doc_id", "chunk_id"])
     shown = texts.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("rows"))
-    return answer_rows.join(shown, "q_id", "left").select(
+    nothing = F.array().cast("array<struct<rank:int,chunk_id:string,text:string>>")
+    return answer_rows.join(shown, "q_id", "left").withColumn("rows", F.coalesce("rows", nothing)).select(
         "q_id", "answer", "citation_ids", F.col("out_of_scope").alias("insufficient_evidence"), "retrieved_ids",
         F.transform("rows", lambda row: row["text"]).alias("retrieval_context"),
         F.transform("rows", lambda row: F.lit(0.0)).alias("retrieval_scores"))

@@ -16,13 +16,16 @@ def _lookup(labels: dict[str, str | int], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(item) for pair in labels.items() for item in pair]), key)
 
 
-def known_citations(ids: Column, citations: Column) -> Column:
-    """Distinct ids that the document's citation map (id to struct) holds, in order."""
-    return F.filter(F.array_distinct(ids), lambda item: F.map_contains_key(citations, item))
-
-
-def citation_pages(ids: Column, citations: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(ids, lambda item: F.element_at(citations, item)["page"])))
+def known_citations(asked: DataFrame, citations: DataFrame) -> DataFrame:
+    """``asked(doc_id, ids)``: per document its distinct ids that ``citations(doc_id, chunk_id, page)`` has, in order,
+    and their pages."""
+    listed = asked.select("doc_id", F.posexplode(F.array_distinct("ids")).alias("pos", "chunk_id"))
+    met = listed.join(citations.select("doc_id", "chunk_id", "page"), ["doc_id", "chunk_id"]).groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda i: i["chunk_id"]).alias("ids"),
+        F.sort_array(F.collect_set("page")).alias("pages"))
+    return asked.select("doc_id").join(met, "doc_id", "left").select(
+        "doc_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"),
+        F.coalesce("pages", F.array().cast("array<int>")).alias("pages"))
 
 
 def leading_ids(ids: Column, shown: int = 3) -> Column:
@@ -30,10 +33,10 @@ def leading_ids(ids: Column, shown: int = 3) -> Column:
     return F.struct(F.slice(ids, 1, shown).alias("visible"), (F.size(ids) > shown).alias("has_more"))
 
 
-def section_sources(items: Column, citations: Column) -> Column:
+def section_ids(items: Column) -> Column:
     """Ids cited by the items of one summary section that have text."""
     filled = F.filter(items, lambda item: F.trim(item["text"]) != "")
-    return known_citations(F.flatten(F.transform(filled, lambda item: item["citation_ids"])), citations)
+    return F.flatten(F.transform(filled, lambda item: item["citation_ids"]))
 
 
 def first_questions(questions: Column, shown: int = 2) -> Column:

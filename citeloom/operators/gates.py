@@ -96,11 +96,13 @@ def repeated_ids(records: DataFrame) -> DataFrame:
     return records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def report_minimums(terms: DataFrame, questions: DataFrame, n_terms: int = 10, n_questions: int = 5) -> DataFrame:
-    """Per document: enough terms, enough distinct questions."""
+def report_minimums(
+    documents: DataFrame, terms: DataFrame, questions: DataFrame, n_terms: int = 10, n_questions: int = 5,
+) -> DataFrame:
+    """Per document, also one without either: enough terms, enough distinct questions."""
     t = terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("term_count"))
     q = questions.groupBy("doc_id").agg(F.count_distinct("question").alias("question_count"))
-    both = t.join(q, "doc_id", "full")
+    both = documents.select("doc_id").distinct().join(t, "doc_id", "left").join(q, "doc_id", "left")
     counts = {name: F.coalesce(name, F.lit(0).cast("bigint")) for name in ("term_count", "question_count")}
     return both.select(
         "doc_id", *[value.alias(name) for name, value in counts.items()],

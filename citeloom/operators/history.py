@@ -103,9 +103,11 @@ def update_tasks(tasks: DataFrame, updates: DataFrame) -> DataFrame:
 
 def update_document_tasks(tasks: DataFrame, updates: DataFrame) -> DataFrame:
     """One wave of document transitions, one per document, fanned out to its open processing tasks."""
-    joined = tasks.join(_news(updates, "document_id"), "document_id", "left")
-    return _updated(joined.withColumn(
-        "new", F.when(F.col("task_type") == "document_processing", F.col("new")))).select(*tasks.columns)
+    news = _news(updates, "document_id")
+    concerned = F.coalesce(F.col("document_id").isNotNull() & (F.col("task_type") == "document_processing"), F.lit(False))
+    # tasks that no transition can reach, all those without a document among them, stay out of the join
+    reached = _updated(tasks.where(concerned).join(news, "document_id", "left")).select(*tasks.columns)
+    return reached.unionByName(tasks.where(~concerned))
 
 
 def attach_documents(tasks: DataFrame, links: DataFrame) -> DataFrame:

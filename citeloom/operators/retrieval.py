@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import fixed
 from citeloom.functions import text as T
-from citeloom.plans.sizing import at_most, small_side
+from citeloom.plans.durable import settled
 
 WEIGHT_UNIT = 10**12
 CHUNK_KEY = ["doc_id", "page", "chunk_id"]
@@ -53,23 +53,22 @@ def _units(df: Column, size: Column) -> Column:
     return F.round(weight * F.lit(float(WEIGHT_UNIT))).cast("bigint")
 
 
-def token_weights(index: DataFrame, sizes: DataFrame, asked: DataFrame, bounded: bool) -> DataFrame:
-    """(q_id, scope, token, df, units) for question tokens that occur in their collection."""
+def matches(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings of the asked tokens alone: (scope, token, chunk, n_tokens).  Tokens that nobody asks for end here."""
     wanted = asked.select("scope", "token").distinct()
-    found = exploded(index.select("scope", "tokens")).join(
-        small_side(wanted, bounded), ["scope", "token"], "left_semi")
+    return postings(index).join(wanted, ["scope", "token"], "left_semi")
+
+
+def token_weights(found: DataFrame, sizes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q_id, scope, token, df, units) for question tokens that occur in their collection."""
     frequency = found.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
-    # Both sides hold at most one row per question token.
-    return (
-        asked.join(small_side(frequency, bounded), ["scope", "token"])
-        .join(small_side(sizes, bounded), "scope")
-        .select("q_id", "scope", "token", "df", _units(F.col("df"), F.col("n_chunks")).alias("units")))
+    return asked.join(frequency, ["scope", "token"]).join(sizes, "scope").select(
+        "q_id", "scope", "token", "df", _units(F.col("df"), F.col("n_chunks")).alias("units"))
 
 
-def scores(index: DataFrame, weights: DataFrame, bounded: bool = False) -> DataFrame:
+def scores(found: DataFrame, weights: DataFrame) -> DataFrame:
     """Every (question, chunk) sharing a token, with ``lexical`` = summed weight / sqrt(chunk tokens)."""
-    matched = postings(index).join(
-        small_side(weights.select("q_id", "scope", "token", "units"), bounded), ["scope", "token"])
+    matched = found.join(weights.select("q_id", "scope", "token", "units"), ["scope", "token"])
     summed = matched.groupBy("q_id", "chunk").agg(
         F.sum("units").alias("units"), F.max("n_tokens").alias("n_tokens"))
     lexical = F.col("units") / F.lit(float(WEIGHT_UNIT)) / F.sqrt(F.greatest("n_tokens", F.lit(1)))
@@ -91,19 +90,15 @@ def search(
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked chunks per question and the token weights they were ranked with.
 
-    ``index`` may be a stored one (:func:`write_index`); otherwise chunks are tokenised here.  With few questions
-    the index is spread by chunk: counting tokens and adding up scores read the same exchange, a chunk's score is
-    complete within one task, and each task passes on its best ``k`` per question only.  With many questions both
-    sides are shuffled by (scope, token).
+    ``index`` may be a stored one (:func:`write_index`); otherwise chunks are tokenised here.  There is one plan for any
+    number of questions: asked tokens are written down, so that Spark knows their size and broadcasts them where they
+    are few; the postings they meet are written down once, and document frequencies and scores are taken from those.
     """
-    asked = question_tokens(questions, scope)
-    bounded = at_most(asked)
+    asked = settled(question_tokens(questions, scope))
     index = token_sets(chunk_rows, scope) if index is None else index
-    index = index.repartition("chunk") if bounded else index
-    scopes = questions.select(F.col(scope)).distinct()
-    sizes = collection_sizes(chunk_rows.join(small_side(scopes, bounded), scope, "left_semi"), scope)
-    weights = token_weights(index, sizes, asked, bounded)
-    return top_k(scores(index, weights, bounded), k), weights
+    found = settled(matches(index, asked))
+    weights = settled(token_weights(found, collection_sizes(chunk_rows, scope), asked))
+    return top_k(scores(found, weights), k), weights
 
 
 def write_index(chunk_rows: DataFrame, path: str, scope: str = "doc_id") -> None:

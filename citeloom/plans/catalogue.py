@@ -93,10 +93,12 @@ def token_sets(spark, folder):
 
 @query
 def text_keys(spark, folder):
-    first = F.get(T.sentences(F.col("text")), F.lit(0))
+    rows = long_columns(documents(spark, folder).select(
+        "doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")))
+    first = F.col("sentence")
     quoted = F.concat(F.lit("  “"), first, F.lit("” "))
-    return documents(spark, folder).select(
-        "doc_id", T.quote_free(quoted).alias("quote_free"), T.word_title(first).alias("word_title"),
+    return rows.select(
+        "doc_id", "pos", T.quote_free(quoted).alias("quote_free"), T.word_title(first).alias("word_title"),
         T.content_phrase(F.concat(first, F.lit(" là của các điều")), fixed.STOP_WORDS).alias("phrase"),
         T.collapse(T.casefold(first)).alias("folded"),
         T.term_key(F.concat(F.lit(" ("), first, F.lit(") ."))).alias("term_key"),
@@ -117,8 +119,8 @@ def clean_titles(spark, folder):
 @query
 def ordered_ids(spark, folder):
     words = C.plain_words(F.col("text"))
-    ids = F.concat(F.slice(words, 1, 4), F.array(F.lit(" ")), F.transform(
-        F.slice(words, 1, 6), lambda word: F.concat(F.lit(" "), word, F.lit("  "))))
+    ids = F.concat(words, F.array(F.lit(" ")), F.transform(
+        words, lambda word: F.concat(F.lit(" "), word, F.lit("  "))))
     return documents(spark, folder).select("doc_id", joined(T.ordered_ids(ids)).alias("ids"))
 
 
@@ -140,10 +142,13 @@ def redact_secrets(spark, folder):
 def table_markdown(spark, folder):
     words = C.plain_words(F.col("text"))
     none = F.lit(None).cast("string")
-    rows = F.array(
-        F.slice(words, 1, 2), F.array(none, F.lit("  ")), F.array(F.concat(F.lit(" 1\n"), F.col("doc_id"))),
-        F.slice(words, 3, 3))
-    return documents(spark, folder).select("doc_id", T.markdown_table(rows).alias("markdown"))
+    starts = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"), F.lit(3))).otherwise(
+        F.array().cast("array<int>"))
+    rows = F.concat(
+        F.array(F.array(none, F.lit("  ")), F.array(F.concat(F.lit(" 1\n"), F.col("doc_id")))),
+        F.transform(starts, lambda at: F.slice("words", at, 3)))
+    worded = documents(spark, folder).select("doc_id", words.alias("words"))
+    return worded.select("doc_id", T.markdown_table(rows).alias("markdown"))
 
 
 @query
@@ -208,7 +213,7 @@ def term_category(spark, folder):
     choices = ["defined-term", "Legal Subject", "thủ tục hành chính", "Chế tài", "nhãn khác", "Nghĩa vụ", "khái niệm được hiểu"]
     label = F.get(F.array(*[F.lit(c) for c in choices]), (F.col("doc_id") % 7).cast("int"))
     proofs = ["điều kiện", "người lao động", "xử phạt", "quyền", "định nghĩa", ""]
-    evidence = F.concat(C.some_words(words, 1, 5), F.lit(" "), F.get(
+    evidence = F.concat(F.array_join(words, " "), F.lit(" "), F.get(
         F.array(*[F.lit(p) for p in proofs]), (F.floor(F.col("doc_id") / 7) % 6).cast("int")))
     return documents(spark, folder).select(
         "doc_id", TM.category_of(label, C.some_words(words, 1, 2), evidence).alias("category"))
@@ -308,7 +313,7 @@ def _evidence(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
     questions = A.valid_questions(_questions(spark, folder))
     ranked, weights = R.search(rows, questions)
-    return rows, questions, ranked, weights, A.evidence_rows(ranked, rows, questions, False)
+    return rows, questions, ranked, weights, A.evidence_rows(ranked, rows, questions)
 
 
 @query
@@ -403,7 +408,7 @@ def model_answer(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
     questions = _questions(spark, folder)
     first = rows.where("chunk_id = 'P1-D1'")
-    quote = F.substring("text", 1, 30)
+    quote = F.col("text")
     proposals = first.select(
         F.col("doc_id").alias("q_id"),
         F.when(F.col("doc_id") % 4 == 0, F.concat(quote, F.lit(" zzz"))).otherwise(
@@ -419,19 +424,18 @@ def model_answer(spark, folder):
 def question_trace(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
     questions = A.valid_questions(_questions(spark, folder))
-    ranked, _ = R.search(rows, questions)
-    traced = A.traces(A.answers(rows, questions), settled(ranked), rows)
+    traced = A.traces(A.answers(rows, questions), questions, rows)
     return traced.select(
         "q_id", "insufficient_evidence", F.md5(joined(F.col("retrieval_context"), "\n")).alias("context_digest"),
         joined(F.col("retrieval_scores").cast("array<string>")).alias("scores"))
 
 
 def _claims(rows):
-    """Each document cites its first page's chunks, with blanks, repeats, strangers and later chunks mixed in."""
-    ids = F.array(
-        F.lit("P1-D1"), F.lit(" P1-D1 "), F.lit(""), F.lit("X"), F.lit("P1-D2"), F.lit("X"),
-        F.concat(F.lit("P2-D"), F.col("doc_id") % 3))
-    return rows.select("doc_id").distinct().select(
+    """Each document cites all its chunks in the order of their ids, after blanks, repeats and strangers."""
+    ids = F.concat(
+        F.array(F.lit("P1-D1"), F.lit(" P1-D1 "), F.lit(""), F.lit("X"), F.lit("P1-D2"), F.lit("X")),
+        F.array_sort("own"))
+    return rows.groupBy("doc_id").agg(F.collect_list("chunk_id").alias("own")).select(
         F.col("doc_id").alias("answer_id"), "doc_id",
         F.when(F.col("doc_id") % 10 == 9, F.lit(None)).when(F.col("doc_id") % 10 == 8, F.array().cast("array<string>"))
         .otherwise(ids).alias("citation_ids"))
@@ -441,7 +445,7 @@ def _claims(rows):
 def citation_validation(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
     claims = _claims(rows)
-    retrieved = rows.where("page = 1 and (ordinal < 2 or doc_id % 2 = 0)").select(
+    retrieved = rows.where("ordinal < 2 or doc_id % 2 = 0").select(
         F.col("doc_id").alias("answer_id"), "chunk_id")
     verdict = CT.validation(claims, CT.check_citations(claims, rows, _tampered(S.citations(rows)), retrieved))
     return verdict.select(
@@ -453,7 +457,7 @@ def citation_validation(spark, folder):
 def rendered_citations(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
     claims = _claims(rows)
-    cited = S.citations(rows.where("doc_id % 2 = 0"))
+    cited = S.citations(rows).where("(doc_id + page) % 2 = 0")
     return long_columns(CT.rendered(CT.check_citations(claims, rows, cited)).where("citation_id <> ''"))
 
 
@@ -587,7 +591,7 @@ def _findings(rows):
     n = F.col("page") + F.col("ordinal") + F.col("doc_id")
     return rows.select(
         "doc_id", (F.col("page") * 1000 + F.col("ordinal")).alias("pos"), F.lit(0).cast("bigint").alias("batch"),
-        F.when(n % 9 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 50)).alias("text"),
+        F.when(n % 9 == 0, F.lit("  ")).otherwise(F.col("text")).alias("text"),
         F.when(n % 2 == 0, F.lit("risk")).otherwise(F.lit("context")).alias("kind"),
         F.when(n % 5 == 0, F.array(F.lit("X"))).otherwise(
             F.array(F.col("chunk_id"), F.lit("X"), F.col("chunk_id"))).alias("citation_ids"),
@@ -620,10 +624,10 @@ def sanitised_terms(spark, folder):
 
 @query
 def dup_statements(spark, folder):
-    """Summary checks on sections filled from the first twelve words of each document."""
+    """Summary checks on sections filled from the words of each document."""
     words = C.plain_words(F.col("text"))
     held = documents(spark, folder)
-    items = held.select("doc_id", F.posexplode(F.slice(words, 1, 12)).alias("n", "word")).select(
+    items = held.select("doc_id", F.posexplode(words).alias("n", "word")).select(
         "doc_id", F.get(F.array(*[F.lit(s) for s in fixed.SUMMARY_SECTIONS]), F.col("n") % 4).alias("section"),
         F.when((F.col("doc_id") % 5 == 0) & (F.col("n") < 5), F.lit(" Same  text")).otherwise(F.col("word")).alias("text"))
     return D.sound_summaries(held, items)
@@ -634,7 +638,11 @@ def question_uniqueness(spark, folder):
     words = C.plain_words(F.col("text"))
     held = documents(spark, folder)
     count = F.when(F.col("doc_id") % 6 == 0, 4).otherwise(5)
-    rows = held.select("doc_id", F.posexplode(F.slice(words, F.lit(1), count)).alias("n", "word")).select(
+    # every question has each fourth or fifth of the document's words
+    asked = F.transform(F.sequence(F.lit(0), count - 1), lambda q: F.array_join(
+        F.filter("words", lambda word, n: n % count == q), " "))
+    worded = held.select("doc_id", words.alias("words"))
+    rows = worded.select("doc_id", F.posexplode(F.filter(asked, lambda q: q != "")).alias("n", "word")).select(
         "doc_id", F.when((F.col("doc_id") % 7 == 0) & (F.col("n") < 2), F.lit("Điều gì?!"))
         .when((F.col("doc_id") % 11 == 0) & (F.col("n") == 3), F.lit("?!")).otherwise(F.concat("word", F.lit("?"))
                                                                                    ).alias("question"))
@@ -685,7 +693,7 @@ def _search_results(spark, folder):
     return C.table(spark, folder, "pages").select(
         E.search_query(title, asked).alias("query"), F.col("page_id").alias("pos"),
         F.when(F.col("page_id") % 4 == 0, F.lit("Tin khác")).otherwise(F.concat(F.lit("Văn bản "), asked)).alias("title"),
-        "url", F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.substring("html", 1, 1200)).alias("content"),
+        "url", F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.col("html")).alias("content"),
         ((F.col("page_id") % 10) / 10.0).alias("score"))
 
 
@@ -703,7 +711,7 @@ def relevance(spark, folder):
     words = C.plain_words(F.col("html"))
     title = F.concat(F.lit("Luật "), C.some_words(words, 1, 2))
     number = F.when(F.col("page_id") % 3 == 0, F.concat(F.col("page_id"), F.lit("/2020/QH14"))).otherwise("")
-    content = F.when(F.col("page_id") % 2 == 0, C.some_words(words, 2, 20)).otherwise(
+    content = F.when(F.col("page_id") % 2 == 0, F.array_join(F.slice(words, 2, F.size(words)), " ")).otherwise(
         F.concat(F.lit("số "), F.col("page_id"), F.lit("/2020/qh14")))
     return C.table(spark, folder, "pages").select(
         "page_id", E.relevant(title, number, F.lit("Văn bản"), content, F.col("url")).alias("relevant"))
@@ -946,7 +954,7 @@ def golden_validation(spark, folder):
 def report_minimums(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
     terms = TM.returned_definitions(TM.defined_terms(rows))
-    return G.report_minimums(terms, RP.critical_questions(rows), 1, 2)
+    return G.report_minimums(documents(spark, folder), terms, RP.critical_questions(rows), 1, 2)
 
 
 @query
@@ -968,23 +976,25 @@ def cold_runs(spark, folder):
 @query
 def topn_citations(spark, folder):
     """Ids shown under an answer: known ones only, three up front, their pages, and the section union."""
-    rows = settled(C.statute_chunks(spark, folder).where("page <= 2"))
-    # The first two pages of a document: twelve lines, so twelve citations at most.
-    cited = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        "chunk_id", F.struct("page")))).alias("citations"))
-    ids = F.array(*[F.lit(i) for i in ("P2-D1", "P1-D1", "P1-D1", "P9-D9", "P1-D2", "P1-D3", "P2-D2")])
-    known = V.known_citations(ids, F.col("citations"))
+    rows = settled(C.statute_chunks(spark, folder))
+    last = F.concat(F.lit("P"), F.col("pages"), F.lit("-D1"))
+    asked = rows.groupBy("doc_id").agg(F.max("page").alias("pages")).select("doc_id", F.array(
+        *[F.lit(i) for i in ("P2-D1", "P1-D1", "P1-D1", "P9-D9", "P1-D2", "P1-D3", "P2-D2")], last).alias("ids"))
     items = F.array(
-        F.struct(F.lit("a").alias("text"), F.slice(ids, 1, 3).alias("citation_ids")),
-        F.struct(F.lit("  ").alias("text"), F.slice(ids, 4, 2).alias("citation_ids")),
-        F.struct(F.lit("b").alias("text"), F.slice(ids, 6, 2).alias("citation_ids")))
-    shown = V.leading_ids(known)
-    return cited.select(
-        "doc_id", joined(known).alias("known"), joined(shown["visible"]).alias("visible"),
-        shown["has_more"].alias("has_more"),
-        joined(V.citation_pages(known, F.col("citations")).cast("array<string>"), ",").alias("pages"),
-        joined(V.section_sources(items, F.col("citations"))).alias("section_ids"),
-        joined(V.first_questions(known)).alias("first_two"))
+        F.struct(F.lit("a").alias("text"), F.slice("ids", 1, 3).alias("citation_ids")),
+        F.struct(F.lit("  ").alias("text"), F.slice("ids", 4, 2).alias("citation_ids")),
+        F.struct(F.lit("b").alias("text"), F.slice("ids", 6, 3).alias("citation_ids")))
+    known = V.known_citations(asked, rows)
+    section = V.known_citations(asked.select("doc_id", V.section_ids(items).alias("ids")), rows)
+    shown = V.leading_ids(F.col("known"))
+    questions = RP.critical_questions(rows).groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("nth", "question"))), lambda q: q["question"]).alias("questions"))
+    return known.select("doc_id", F.col("ids").alias("known"), "pages").join(
+        section.select("doc_id", F.col("ids").alias("section_ids")), "doc_id").join(questions, "doc_id", "left").select(
+        "doc_id", joined(F.col("known")).alias("known"), joined(shown["visible"]).alias("visible"),
+        shown["has_more"].alias("has_more"), joined(F.col("pages").cast("array<string>"), ",").alias("pages"),
+        joined(F.col("section_ids")).alias("section_ids"),
+        joined(V.first_questions(F.coalesce("questions", F.array().cast("array<string>")))).alias("first_two"))
 
 
 @query

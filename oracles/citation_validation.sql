@@ -1,9 +1,10 @@
 -- uses: statute excerpts tampering
 WITH claims AS (
-  SELECT DISTINCT doc_id, CASE WHEN doc_id % 10 IN (8, 9) THEN [] ELSE ['P1-D1', 'P1-D1', '', 'X', 'P1-D2', 'X', 'P2-D' || doc_id % 3] END AS ids FROM chunks),
+  SELECT doc_id, CASE WHEN doc_id % 10 IN (8, 9) THEN [] ELSE list_concat(['P1-D1', 'P1-D1', '', 'X', 'P1-D2', 'X'], list(chunk_id ORDER BY chunk_id)) END AS ids
+  FROM chunks GROUP BY doc_id),
 listed AS (SELECT doc_id, unnest(ids) AS id, unnest(range(0, len(ids))) AS pos FROM claims),
 j AS (
-  SELECT l.*, c.chunk_id IS NOT NULL AS known, c.page = 1 AND (c.ordinal < 2 OR l.doc_id % 2 = 0) AS seen,
+  SELECT l.*, c.chunk_id IS NOT NULL AS known, c.ordinal < 2 OR l.doc_id % 2 = 0 AS seen,
          c.article IS DISTINCT FROM t.article AS moved,
          l.doc_id % 7 = 3 AND NOT starts_with(lower(c.text), 'x ') AS altered
   FROM listed l LEFT JOIN chunks c ON c.doc_id = l.doc_id AND c.chunk_id = l.id LEFT JOIN tampered t ON t.doc_id = l.doc_id AND t.chunk_id = l.id),

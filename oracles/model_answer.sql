@@ -2,7 +2,7 @@
 WITH RECURSIVE law_questions AS (SELECT q_id, doc_id, question FROM questions),
 --shared identity,
 proposals AS (
-  SELECT doc_id AS q_id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 30) || ' zzz' ELSE '“' || lower(substr(text, 1, 30)) || '”' END AS said, doc_id % 5 = 0 AS stray
+  SELECT doc_id AS q_id, CASE WHEN doc_id % 4 = 0 THEN text || ' zzz' ELSE '“' || lower(text) || '”' END AS said, doc_id % 5 = 0 AS stray
   FROM chunks WHERE chunk_id = 'P1-D1'),
 judged_models AS (
   SELECT p.q_id, said, stray,

@@ -32,8 +32,9 @@ counted AS (
   SELECT j.doc_id, j.key, count(*) FILTER (contains(replace(lower(c.text), 'ß', 'ss'), replace(lower(j.term), 'ß', 'ss'))) AS n_hits, count(*) AS n_chunks
   FROM judged j JOIN chunks c ON c.doc_id = j.doc_id WHERE verdict = 'accepted' GROUP BY 1, 2),
 rated AS (
-  SELECT j.*, round(0.35 * salience + 0.30 * difficulty + 0.20 * least(100, round_even(100.0 * n_hits / n_chunks, 0))
-      + 0.15 * CASE WHEN regexp_matches(evidence, '(?i)(^|[^\p{L}\p{N}_])(quyền|nghĩa vụ|trách nhiệm|cấm|xử phạt|tranh chấp|vi phạm)([^\p{L}\p{N}_]|$)') THEN 100 ELSE 50 END, 6) AS score
+  SELECT j.*, 0.35::DOUBLE * salience + 0.30::DOUBLE * difficulty
+      + 0.15::DOUBLE * CASE WHEN regexp_matches(evidence, '(?i)(^|[^\p{L}\p{N}_])(quyền|nghĩa vụ|trách nhiệm|cấm|xử phạt|tranh chấp|vi phạm)([^\p{L}\p{N}_]|$)') THEN 100 ELSE 50 END
+      + 0.20::DOUBLE * least(100, round_even(100.0 * n_hits / n_chunks, 0)) AS score
   FROM judged j JOIN counted USING (doc_id, key) WHERE verdict = 'accepted'),
 ranked_terms AS MATERIALIZED (
   SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.doc_id ORDER BY score DESC, pos) AS rank,

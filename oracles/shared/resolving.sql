@@ -4,7 +4,7 @@ results AS (
            ELSE 'Nghị định số  về dữ liệu ' || (1 + page_id % 40) || '/2023/NĐ-CP' END || '" văn bản quy định chính thức' AS query,
          CASE WHEN page_id % 4 = 0 THEN 'Tin khác' WHEN page_id % 3 = 0 THEN 'Văn bản ' || (10 + page_id % 7) || '/2018/QH14'
               ELSE 'Văn bản ' || (1 + page_id % 40) || '/2023/NĐ-CP' END AS found_title,
-         CASE WHEN page_id % 5 = 0 THEN '' ELSE trim(substr(html, 1, 1200)) END AS content, (page_id % 10) / 10.0 AS score
+         CASE WHEN page_id % 5 = 0 THEN '' ELSE trim(html) END AS content, (page_id % 10) / 10.0 AS score
   FROM pages WHERE regexp_matches(lower(url), '^https?://([^/?#]*\.)?example\.com([:/?#]|$)')),
 fitting AS (
   SELECT l.doc_id, l.nth, r.url, r.content, row_number() OVER (PARTITION BY l.doc_id, l.nth ORDER BY score DESC, page_id) AS best

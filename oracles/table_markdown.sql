@@ -1,6 +1,6 @@
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[a-z]{4,}') AS w FROM documents),
 r AS (
-  SELECT doc_id, list_filter([w[1:2], [NULL, '  '], [' 1' || chr(10) || doc_id], w[3:5]],
+  SELECT doc_id, list_filter(list_concat([[NULL, '  '], [' 1' || chr(10) || doc_id]], list_transform(range(1, len(w) + 1, 3), lambda i: w[i:i + 2])),
          lambda row: len(list_filter(row, lambda c: trim(coalesce(c, ''), ' ' || chr(10)) <> '')) > 0) AS rows FROM w),
 m AS (SELECT doc_id, rows, list_max(list_transform(rows, lambda row: len(row))) AS width FROM r),
 l AS (

@@ -1,7 +1,8 @@
 WITH s AS (
-  SELECT doc_id, string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1))[1] AS f FROM documents),
-l AS (SELECT doc_id, f, replace(lower(f), 'ß', 'ss') AS g FROM s)
-SELECT doc_id,
+  SELECT doc_id, string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1)) AS fs FROM documents),
+l AS (SELECT doc_id, pos, f, replace(lower(f), 'ß', 'ss') AS g
+      FROM (SELECT doc_id, unnest(fs) AS f, unnest(range(0, len(fs))) AS pos FROM s))
+SELECT doc_id, pos,
        trim(regexp_replace(g, '\s+', ' ', 'g'), '"“”‘’'' ') AS quote_free,
        array_to_string(regexp_extract_all(g, '[\p{L}\p{N}_]+'), ' ') AS word_title,
        array_to_string(list_filter(regexp_extract_all(g || ' là của các điều', '[\p{L}\p{N}_]+'), lambda w: length(w) > 1
