@@ -22,11 +22,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
     """A table whose text is about to be worked on.
 
-    One file with one row group is scanned by one task; with fewer files than task slots rows are spread first.
-    A table of many files is left as it lies.
+    A table whose scan has fewer tasks than the cluster has slots is dealt out first; all others are left as they lie.
+    Which of the two happens changes how rows are laid out and nothing else.
     """
     rows = table(spark, folder, name)
-    few = len(rows.inputFiles()) < spark.sparkContext.defaultParallelism
+    few = rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
     return rows.repartition(key) if few else rows
 
 

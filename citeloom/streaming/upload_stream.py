@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from citeloom.operators import segmentation as S
@@ -19,10 +20,15 @@ def watched_files(spark: SparkSession, path: str) -> DataFrame:
 def keep_chunks(
     file_stream: DataFrame, out_path: str, checkpoint: str, extractors: dict[str, U.Extractor] | None = None,
 ) -> StreamingQuery:
-    """A document arrives whole in one file, so its structure is settled within its micro-batch."""
+    """A document arrives whole in one file, so its structure is settled within its micro-batch.
+
+    Files that gave no page, refused or broken, are rows of the ``errors`` table.
+    """
     def write(rows: DataFrame, batch: int) -> None:
-        pages = settled(U.extracted_pages(U.admitted(rows), extractors))
-        chunks = S.chunks(pages)
+        parts = settled(U.extracted_parts(U.admitted(rows), extractors))
+        refused = U.refused(rows).select(F.lit(None).cast("string").alias("doc_id"), "file_name", "error_code")
+        U.unreadable(parts).unionByName(refused).write.mode("overwrite").parquet(f"{out_path}/errors/batch={batch}")
+        chunks = S.chunks(U.pages_of(parts))
         chunks.write.mode("overwrite").parquet(f"{out_path}/chunks/batch={batch}")
         stored = rows.sparkSession.read.parquet(f"{out_path}/chunks/batch={batch}")
         S.citations(stored).write.mode("overwrite").parquet(f"{out_path}/citations/batch={batch}")

@@ -40,6 +40,42 @@ def test_docx_pages(spark, tmp_path):
     assert S.chunks(pages.where("file_name = 'Luat.DOCX'")).where("article = 'Điều 2'").count() == 1
 
 
+def test_no_file_is_lost(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "broken.docx").write_bytes(b"no archive")
+    (tmp_path / "good.docx").write_bytes(docx(["Điều 1. A"], [["X"]]))
+    parts = uploads.extracted_parts(uploads.admitted(uploads.files(spark, str(tmp_path))))
+    assert {(r.file_name, r.error_code) for r in uploads.unreadable(parts).collect()} == {
+        ("a.pdf", "UNSUPPORTED_FILE"), ("broken.docx", "PROCESSING_FAILED")}
+    assert [r.file_name for r in uploads.pages_of(parts).collect()] == ["good.docx"]
+
+
+def test_ids_may_be_supplied_and_sizes_are_pushed_down(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(docx(["A"], [["X"]]))
+    (tmp_path / "b.docx").write_bytes(docx(["B"], [["X"]]))
+    files = uploads.files(spark, str(tmp_path))
+    named = files.withColumn("doc_id", F.when(F.col("path").endswith("a.docx"), F.lit("mine")))
+    got = {r.file_name: r.doc_id for r in uploads.admitted(named).collect()}
+    assert got["a.docx"] == "mine" and got["b.docx"] == {r.file_name: r.doc_id for r in uploads.admitted(files).collect()}["b.docx"]
+    plan = uploads.admitted(files)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length" in plan
+
+
+def test_merged_cells_and_text_boxes():
+    def tc(text, *properties):
+        return f"<w:tc><w:tcPr>{''.join(properties)}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+
+    wide, top, below = '<w:gridSpan w:val="2"/>', '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    rows = [tc("wide", wide) + tc("c"), tc("tall", top) + tc("x") + tc("y"), tc("", below) + tc("z") + tc("w")]
+    box = "<w:r><w:drawing><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></w:drawing></w:r>"
+    body = f"<w:p><w:r><w:t>text</w:t></w:r>{box}</w:p><w:tbl>{''.join(f'<w:tr>{r}</w:tr>' for r in rows)}</w:tbl>"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>')
+    assert uploads.docx_parts(buffer.getvalue()) == (
+        ["text"], [[["wide", "wide", "c"], ["tall", "x", "y"], ["tall", "z", "w"]]])
+
+
 def test_golden_records(spark, tmp_path):
     lines = [
         {"record_type": "qa", "id": "a", "expected_output": "x", "document_path": "d", "question": "q", "scope": "in",
