@@ -900,17 +900,21 @@ def history_stream(spark, folder):
 
 
 def _golden(spark, folder):
-    """Golden cases from ``labels``: quality decides the scope, the document's words act as cited and gold ids."""
-    words = C.plain_words(F.col("text"))
-    rows = C.table(spark, folder, "labels").join(documents(spark, folder), "doc_id")
+    """Golden cases from ``labels``: quality decides the scope, the chunks with the document's leading word are gold, and
+    the engine's own answer says what was cited, retrieved and refused."""
+    rows = settled(C.statute_chunks(spark, folder))
+    given = A.answers(rows, _questions(spark, folder)).select(
+        F.col("q_id").alias("doc_id"), "citation_ids", "retrieved_ids", F.col("out_of_scope").alias("insufficient_evidence"))
+    leading = documents(spark, folder).select("doc_id", F.get(C.plain_words(F.col("text")), F.lit(0)).alias("leading"))
+    gold = rows.join(leading, "doc_id").where(F.contains("text", "leading")).groupBy("doc_id").agg(
+        F.collect_list("chunk_id").alias("gold"))
+    cases = C.table(spark, folder, "labels").join(documents(spark, folder).select("doc_id", "lang"), "doc_id")
     inside = F.col("quality") == 1
     nothing = F.array().cast("array<string>")
-    return rows.select(
-        "doc_id", "toxic", "lang", F.when(inside, "in").otherwise("out").alias("scope"),
-        F.when(F.col("doc_id") % 6 == 0, nothing).otherwise(F.slice(words, 1, 6)).alias("citation_ids"),
-        F.slice(words, 1, 8).alias("retrieved_ids"),
-        F.when(inside, F.slice(words, 2, 4)).otherwise(nothing).alias("gold_citation_ids"),
-        (~inside | (F.col("doc_id") % 10 == 0)).alias("insufficient_evidence"))
+    return cases.join(given, "doc_id").join(gold, "doc_id", "left").select(
+        "doc_id", "toxic", "lang", F.when(inside, "in").otherwise("out").alias("scope"), "citation_ids", "retrieved_ids",
+        F.when(inside, F.coalesce("gold", nothing)).otherwise(nothing).alias("gold_citation_ids"),
+        "insufficient_evidence")
 
 
 @query
