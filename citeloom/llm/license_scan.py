@@ -5,8 +5,9 @@ windows a quarter of L apart hold every run of m shingles whole.  A text that co
 template in such a run then has a window whose Jaccard similarity to it is at least CONTAINMENT / (4 + ...), never below
 a fifth; with BANDS bands of one minimum each, a window like that collides with probability 1 - 0.8^64, over 0.999999.
 
-A window collides with a template in a band only if it holds the shingle that is the template's minimum there, so texts
-without any such shingle have no collision and are not cut into windows.  Everything is DataFrame functions.
+A window collides with a template in a band only if it holds the shingle that is the template's minimum there.  Texts and
+windows without any such shingle have no collision in any band, so their minima are not computed; the result is the same.
+Everything is DataFrame functions.
 
 Defined results: a null text is empty; a text or template of fewer than five words has no shingle and no match; an empty
 template table matches nothing; repeated rows get their own results; an empty table gives no rows; further columns play
@@ -87,7 +88,7 @@ def matched(docs: DataFrame, notices: DataFrame | None = None, containment: floa
     # one number per template and band at most
     held = F.array(*[F.lit(r.h).cast("bigint") for r in minima.collect()]) if not minima.isEmpty() else None
     rows = docs.select("doc_id", shingles(F.col("text")).alias("h"))
-    can = F.arrays_overlap("h", held) if held is not None else F.lit(False)
+    can = F.lit(False) if held is None else F.arrays_overlap("h", held)
     rows = settled(rows.withColumn("h", F.when(can, F.col("h"))).withColumn("row", F.monotonically_increasing_id()))
 
     lengths = sorted(r.length for r in known.select("length").distinct().collect())
@@ -95,6 +96,7 @@ def matched(docs: DataFrame, notices: DataFrame | None = None, containment: floa
         F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(max(1, length // 4))), _window(length))
         for length in lengths])) if lengths else F.array().cast("array<struct<start:int,length:int,window:array<bigint>>>")
     cut = rows.where("h IS NOT NULL").select("row", F.explode(windows).alias("w")).select("row", "w.*")
+    cut = cut if held is None else cut.where(F.arrays_overlap("window", held))
     found = cut.select("row", "start", "length", "window", F.posexplode(bands(F.col("window"))).alias("band", "value"))
     asked = known.select("license", "own", "m", "length", F.posexplode("values").alias("band", "value"))
     share = F.size(F.array_intersect("own", "window")) / F.col("m")
