@@ -6,6 +6,7 @@ several branches of one query read are settled (checkpointed) once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -575,7 +576,7 @@ def partial_report(spark, folder):
 @query
 def batch_budget(spark, folder):
     rows = C.statute_chunks(spark, folder)
-    return long_columns(B.batches(rows, 600).select("doc_id", "chunk_id", "cost", "batch"))
+    return long_columns(B.batches(rows, B.configured_budget(600)).select("doc_id", "chunk_id", "cost", "batch"))
 
 
 @query
@@ -669,6 +670,63 @@ def decoded_responses(spark, folder):
     return rows.select("doc_id", "value.answer", "value.score", "error")
 
 
+# --- reports written with a model -----------------------------------------------------------------
+
+
+def _mapper(ids: list[str], text: str) -> str:
+    """A stand-in for a model: a finding per id, six at most; some responses are empty, some are cut off."""
+    found = [{"text": f"{i} {len(text)}", "kind": "context", "citation_ids": [i, "X"]} for i in ids[:6]]
+    content = json.dumps({"findings": [] if len(ids) % 7 == 3 else found, "term_candidates": []})
+    return content[:-1] if len(ids) % 7 == 5 else content
+
+
+def _map_results(rows):
+    batched = B.batch_evidence(rows, B.batches(rows, B.configured_budget(2000)))
+    answered = B.mapped(batched, _mapper).withColumns({
+        "finish_reason": F.lit("stop"), "refusal": F.lit(None).cast("string")})
+    return settled(D.map_results(answered))
+
+
+@query
+def model_map(spark, folder):
+    results = _map_results(settled(C.statute_chunks(spark, folder)))
+    return results.select("doc_id", "batch", F.coalesce(count_of(F.col("value.findings")), F.lit(0)).alias("n_findings"),
+                          "error")
+
+
+@query
+def model_failures(spark, folder):
+    results = _map_results(settled(C.statute_chunks(spark, folder)))
+    found = D.findings(results.where("error is null"))
+    return D.failed_documents(documents(spark, folder), results, found)
+
+
+@query
+def model_report(spark, folder):
+    """Map, check, reduce and write; any broken response leaves the document with its partial report."""
+    pages = C.statute_pages(spark, folder)
+    rows = settled(S.chunks(pages))
+    held = documents(spark, folder).select("doc_id", F.concat(F.lit("file"), F.col("doc_id"), F.lit(".docx")).alias("file_name"))
+    results = _map_results(rows)
+    found = settled(D.findings(results.where("error is null")))
+    reduced = settled(D.reduction_input(found.where("error is null")))
+    first = F.get("allowed_ids", F.lit(0))
+    sections = F.explode(F.array(*[F.lit(name) for name in fixed.SUMMARY_SECTIONS])).alias("section")
+    summaries = reduced.select("doc_id", first.alias("id"), sections).select(
+        "doc_id", "section", F.lit(0).alias("pos"), F.concat("section", F.lit(" "), "id").alias("text"),
+        F.array("id").alias("citation_ids"))
+    asked = reduced.select("doc_id", first.alias("id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("pos")).select(
+        "doc_id", "pos", F.concat(F.lit("Câu hỏi "), "pos", F.lit(" "), "id", F.lit("?")).alias("question"),
+        F.lit("lý do").alias("rationale"), F.array("id").alias("citation_ids"))
+    counts = results.groupBy("doc_id").agg(F.count("*").alias("map_batch_count"))
+    reports = RP.model_reports(
+        held, pages, rows, summaries, asked, _candidates(rows), counts,
+        RP.partial_reports(held, pages, rows, "LLM_GENERATION_FAILED"), D.failed_documents(held, results, found))
+    return long_columns(reports.select(
+        "doc_id", "generation_mode", F.col("quality.map_batch_count").alias("map_batch_count"),
+        F.col("quality.question_count").alias("question_count")))
+
+
 # --- related documents ----------------------------------------------------------------------------
 
 
