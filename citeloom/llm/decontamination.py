@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import carried, in_small_batches, ALNUM_WORDS, MULTIPLIER, grams, row_identity, scrambled, settled, words_by_row
+from citeloom.llm.shared import (
+    ALNUM_WORDS, MULTIPLIER, carried, grams, in_small_batches, row_identity, scrambled, settled, words_by_row)
 
 WINDOW = 13
 RUN = 7

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.shared import (
-    carried, in_small_batches, MULTIPLIER, SPACE_WORDS, components, row_identity, scrambled, settled, shingle_sets, words_by_row)
+    MULTIPLIER, SPACE_WORDS, carried, components, in_small_batches, row_identity, scrambled, settled, shingle_sets,
+    words_by_row)
 
 BATCH_TOKENS = 1_500_000
 BUCKET_BYTES = 8 << 20
