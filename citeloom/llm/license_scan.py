@@ -9,9 +9,12 @@ A window collides with a template in a band only if it holds the shingle that is
 windows without any such shingle have no collision in any band, so their minima are not computed; the result is the same.
 Everything is DataFrame functions.
 
-Defined results: a null text is empty; a text or template of fewer than five words has no shingle and no match; an empty
-template table matches nothing; repeated rows get their own results; an empty table gives no rows; further columns play
-no part.
+A template of fewer than five words has its whole word sequence as its one shingle.  It is looked for at every word, in
+windows of that many words, so it needs no bands: it is there whole or not at all.
+
+Defined results: a null text is empty; a text of fewer than five words has no five-word shingle and can match short
+templates only; a template without words matches nothing, as an empty template table does; repeated rows get their own
+results; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ NOTICES = (
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("mit", "Released under the MIT License."),
+    ("reserved", "All rights reserved."),
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
                   "associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("bsd-terms", "Redistribution and use in source and binary forms, with or without modification, are permitted "
@@ -51,16 +55,32 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the runs of WIDTH lower-cased words, in order."""
-    none = F.array().cast("array<bigint>")
+def worded(text: Column) -> Column:
+    """The lower-cased words of a text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def shingles(words: Column) -> Column:
+    """Hashes of the runs of WIDTH words, in order."""
+    starts = F.sequence(F.lit(1), F.size(words) - (WIDTH - 1))
+    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, WIDTH), " ")))
+    return F.when(F.size(words) >= WIDTH, runs).otherwise(F.array().cast("array<bigint>"))
+
 
-    def hashed(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (WIDTH - 1))
-        runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, WIDTH), " ")))
-        return F.when(F.size(words) >= WIDTH, runs).otherwise(none)
+def spoken(words: Column, sayings: list[str]) -> Column:
+    """(said, start): where each of ``sayings``, words with a blank between, is among ``words``."""
+    none = F.array().cast("array<struct<said:string,start:int>>")
+    if not sayings:
+        return none
+    firsts = sorted({s.split(" ")[0] for s in sayings})
 
-    return bound(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), hashed)
+    def placed(size: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.get(words, i - 1).isin(firsts))
+        found = F.transform(starts, lambda i: F.struct(
+            F.array_join(F.slice(words, i, size), " ").alias("said"), (i - 1).alias("start")))
+        return F.when(F.size(words) >= size, F.filter(found, lambda x: x["said"].isin(sayings))).otherwise(none)
+
+    return F.flatten(F.array(*[placed(size) for size in sorted({len(s.split(" ")) for s in sayings})]))
 
 
 def bands(window: Column) -> Column:
@@ -71,23 +91,33 @@ def bands(window: Column) -> Column:
 
 def prepared(notices: DataFrame) -> DataFrame:
     """(license, own, m, length, values): a template's distinct shingles, window length and band values."""
-    own = notices.select("license", F.array_distinct(shingles(F.col("text"))).alias("own")).where(F.size("own") > 0)
+    own = notices.select("license", bound(worded(F.col("text")), lambda w: F.array_distinct(shingles(w))).alias("own"))
+    own = own.where(F.size("own") > 0)
     m = F.size("own")
     length = F.greatest(F.lit(LEAST_WINDOW), F.pow(F.lit(2.0), F.ceil(F.log2((m - 1) / F.lit(0.75) + 1e-9)))).cast("int")
     return own.select("license", "own", m.alias("m"), F.when(m > 1, length).otherwise(LEAST_WINDOW).alias("length"),
                       bands(F.col("own")).alias("values"))
 
 
+def short(notices: DataFrame) -> DataFrame:
+    """(license, said): the word sequence of each template of fewer than WIDTH words."""
+    words = notices.select("license", worded(F.col("text")).alias("w")).where(F.size("w").between(1, WIDTH - 1))
+    return words.select("license", F.array_join("w", " ").alias("said")).distinct()
+
+
 def matched(docs: DataFrame, notices: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, matches), one row per row of ``docs``(doc_id, text); matches are (license, containment, word) by license:
     the best containment of each template and the first word of the window where it is reached first."""
     spark = docs.sparkSession
-    known = settled(prepared(templates(spark) if notices is None else notices))
+    notices = templates(spark) if notices is None else notices
+    known, brief = settled(prepared(notices)), settled(short(notices))
     minima = known.select("license", "own", F.posexplode("values").alias("band", "value")).select(
         F.explode(F.filter("own", lambda h: F.xxhash64(h, F.col("band")) == F.col("value"))).alias("h")).distinct()
     # one number per template and band at most
     held = F.array(*[F.lit(r.h).cast("bigint") for r in minima.collect()]) if not minima.isEmpty() else None
-    rows = docs.select("doc_id", shingles(F.col("text")).alias("h"))
+    sayings = sorted({r.said for r in brief.select("said").collect()})  # one per short template at most
+    rows = docs.select("doc_id", bound(worded(F.col("text")), lambda w: F.struct(
+        shingles(w).alias("h"), spoken(w, sayings).alias("said"))).alias("found")).select("doc_id", "found.*")
     can = F.lit(False) if held is None else F.arrays_overlap("h", held)
     rows = settled(rows.withColumn("h", F.when(can, F.col("h"))).withColumn("row", F.monotonically_increasing_id()))
 
@@ -102,10 +132,12 @@ def matched(docs: DataFrame, notices: DataFrame | None = None, containment: floa
     share = F.size(F.array_intersect("own", "window")) / F.col("m")
     hits = found.join(asked, ["band", "value", "length"]).select(
         "row", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
+    whole = rows.where(F.size("said") > 0).select("row", F.explode("said").alias("s")).select("row", "s.*")
+    hits = hits.union(whole.join(brief, "said").select("row", "license", "start", F.lit(1.0).alias("containment")))
     best = hits.groupBy("row", "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("at"))).alias("b"))
     each = settled(best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         "license", F.col("b.containment").alias("containment"), (-F.col("b.at")).alias("word")))).alias("matches")))
-    return rows.drop("h").join(each, "row", "left").select("doc_id", F.coalesce("matches", F.array().cast(
+    return rows.drop("h", "said").join(each, "row", "left").select("doc_id", F.coalesce("matches", F.array().cast(
         "array<struct<license:string,containment:double,word:int>>")).alias("matches"))
 
 

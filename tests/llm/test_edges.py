@@ -280,6 +280,40 @@ def test_licenses(spark, docs, rows):
                 if r.matches]
 
 
+def test_short_licenses(spark, folder):
+    """Templates of fewer than five words, against a plain word search: in edge cases and in the given documents."""
+    word = re.compile(r"[^\W_]+")
+    short = [("one", "Reserved"), ("two", "rights: reserved"), ("three", "All rights reserved."), ("four", "(c) all rights reserved"),
+             ("none", "..."), ("empty", None), ("long", "Licensed under CC BY-NC 4.0."), ("both", "no rights"),
+             ("both", "Released under the MIT License.")]
+    texts = ["All rights reserved.", "all\nRIGHTS, reserved", "reserved", "all rights", "allrights reserved", "", None,
+             "(C) All rights reserved. All rights reserved.", "all rights all rights reserved here and so on", "preserved",
+             "x y z Licensed under CC BY-NC 4.0. rights reserved", "Released under the MIT License. There are no rights"]
+    for notices, given in (
+            (short, list(enumerate(texts))),
+            ([n for n in license_scan.NOTICES if len(word.findall(n[1])) < 5],
+             [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()])):
+        expected = {}
+        for d, text in given:
+            have = word.findall((text or "").lower())
+            for name, notice in notices:
+                asked = word.findall((notice or "").lower())
+                for at in range(len(have) - len(asked) + 1 if 0 < len(asked) < 5 else 0):
+                    if have[at:at + len(asked)] == asked:
+                        expected.setdefault((d, name), at)
+        frame = spark.createDataFrame(given, "doc_id bigint, text string")
+        got = license_scan.matched(frame, None if notices is not short else spark.createDataFrame(
+            notices, "license string, text string")).collect()
+        assert len(got) == len(given)
+        found = {(r.doc_id, m.license): (m.word, m.containment) for r in got for m in r.matches}
+        if notices is short:
+            assert found.pop((10, "long"))[1] == 1.0
+            assert found.pop((11, "both")) == (0, 1.0) and expected.pop((11, "both")) == 7  # the earlier of two templates
+        else:
+            found = {k: v for k, v in found.items() if k[1] in dict(notices)}
+        assert expected and found == {k: (at, 1.0) for k, at in expected.items()}
+
+
 def test_quality_edges(spark, docs, rows):
     labels = spark.createDataFrame(
         [(1, 1, 0), (2, 0, 0), (2, 1, None), (None, 0, 1), (10, None, None), (11, 0, 1), (11, 0, 0)],
