@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,10 @@ from citeloom.llm.shared import (
 
 #: Most labelled rows that the document model is fitted on.
 SAMPLE = 20_000
-#: Features per question, and the fewest sampled rows that must have one.
+#: Features per question.
 FEATURES = 256
-LEAST_ROWS = 5
-#: Least G2 of a feature; over a vocabulary, chance alone reaches twenty.
-LEAST_G2 = 30.0
+#: Features that chance alone may bring into a question's model, over all that are tested in the sample.
+CHANCE = 0.05
 QUESTIONS = ("low", "toxic")
 #: A text is rejected from this posterior on; letting toxic text pass costs more than asking for a second look.
 REJECT = {"low": 0.5, "toxic": 0.35}
@@ -130,8 +130,28 @@ def likelihood_ratio(n: Column, k: Column, rows: float, hits: float) -> Column:
         return F.when(seen > 0, seen * F.log(seen / wanted)).otherwise(0.0)
 
     rate = hits / rows
-    return part(k, n * rate) + part(n - k, n * (1 - rate)) + part(hits - k, (rows - n) * rate) + part(
-        rows - n - hits + k, (rows - n) * (1 - rate))
+    return 2 * (part(k, n * rate) + part(n - k, n * (1 - rate)) + part(hits - k, (rows - n) * rate) + part(
+        rows - n - hits + k, (rows - n) * (1 - rate)))
+
+
+def least_ratio(tested: int) -> float:
+    """The G2 that CHANCE of ``tested`` features without any bearing reach: a quantile of chi-square, one degree."""
+    return NormalDist().inv_cdf(CHANCE / max(tested, 1) / 2) ** 2
+
+
+def bar(features: DataFrame, rows: float, hits: float) -> float:
+    """The G2 that a feature of ``features``(n) needs.  Those in so few rows that no label could lift them over it are
+    not tested and do not raise it."""
+    n = F.col("n")
+    most = F.greatest(*[likelihood_ratio(n, k, rows, hits) for k in (
+        F.least(n, F.lit(hits)), F.greatest(n - F.lit(rows - hits), F.lit(0.0)))])
+    sizes = features.groupBy("n").agg(F.count("*").alias("c")).select("n", "c", most.alias("most")).orderBy("n").collect()
+    tested = sum(r.c for r in sizes)
+    for r in sizes:  # at most a row for each number of sampled rows
+        if r.most >= least_ratio(tested):
+            break
+        tested -= r.c
+    return least_ratio(tested)
 
 
 def fitted_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 30) -> np.ndarray:
@@ -158,17 +178,19 @@ def fitted(docs: DataFrame, marks: DataFrame, most: int = SAMPLE, top: int = FEA
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     sample = settled(sample.select("low", "toxic", "text"))
     said = sample.agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
-    counts = settled(feature_counts(sample).where(F.col("n") >= LEAST_ROWS))
+    counts = settled(feature_counts(sample).where("n > 1"))  # a single row shows nothing
     names: set[int] = set()
     own: dict[str, set[int]] = {}
     for question in QUESTIONS:
         hits = said[question] or 0
         if 0 < hits < said.n:
             score = likelihood_ratio(F.col("n"), F.col(question), float(said.n), float(hits))
-            told = counts.select("feature", "n", F.col(question).alias("k"), score.alias("g")).where(
-                F.col("g") >= LEAST_G2)
-            if question == "toxic":  # a matter of what is said: words that speak for it
-                told = told.where((F.col("feature") % 2 == 0) & (F.col("k") * said.n > F.col("n") * hits))
+            tested = counts.select("feature", "n", F.col(question).alias("k"), score.alias("g"))
+            if question == "toxic":  # a matter of what is said: words
+                tested = tested.where(F.col("feature") % 2 == 0)
+            told = tested.where(F.col("g") >= bar(tested, float(said.n), float(hits)))
+            if question == "toxic":  # that speak for it
+                told = told.where(F.col("k") * said.n > F.col("n") * hits)
             own[question] = {r.feature for r in told.orderBy(F.desc("g"), "feature").limit(top).collect()}
             names |= own[question]
     sorted_names = np.sort(np.array(sorted(names), dtype=np.int64).view(np.uint64))

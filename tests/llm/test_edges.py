@@ -346,6 +346,39 @@ def test_quality_held_out(spark):
     assert right >= 0.93 * len(got)
 
 
+def test_quality_ratio(spark):
+    """G2 with its factor; a bar that follows the number of features tested."""
+    import math
+    table = spark.range(1).select(quality.likelihood_ratio(F.lit(5), F.lit(5), 80.0, 10.0).alias("g")).first()
+    expected = 2 * (5 * math.log(8) + 5 * math.log(5 / (75 * 0.125)) + 70 * math.log(70 / (75 * 0.875)))
+    assert abs(table.g - expected) < 1e-9
+    assert abs(quality.least_ratio(1) - 3.8415) < 1e-3 and quality.least_ratio(100) < 15 < 22 < quality.least_ratio(30_000)
+    many = spark.createDataFrame([(1,)] * 500 + [(8,)] * 10, "n bigint")
+    assert abs(quality.bar(many, 80.0, 10.0) - quality.least_ratio(10)) < 1e-9  # what is in one row cannot pass
+
+
+@pytest.mark.parametrize("size,least", [("sf0.001", 0.3), ("sf0.01", 0.9)])
+def test_toxicity_held_out(spark, size, least):
+    """Held-out toxic texts with a word that only toxic texts have are rejected, also where labels are few."""
+    labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    words = {r.doc_id: set(ALNUM_WORD.findall(lowered(r.text))) for r in docs.collect() if r.doc_id in marks}
+    telling = Counter(w for d, ws in words.items() if marks[d] for w in ws)
+    telling = {w for w, n in telling.items() if n >= 5} - {w for d, ws in words.items() if not marks[d] for w in ws}
+    right = wrong = missed = 0
+    for fold in range(4 if size == "sf0.001" else 1):
+        got = quality.classified(docs, labels.where(f"doc_id % 4 != {fold}"), F.col("source"), F.col("lang")).where(
+            f"doc_id % 4 = {fold}").select("doc_id", "p_toxic").collect()
+        for r in got:
+            if r.doc_id in marks:
+                rejected = r.p_toxic >= quality.REJECT["toxic"]
+                wrong += rejected and not marks[r.doc_id]
+                if words[r.doc_id] & telling:
+                    right, missed = right + rejected, missed + (not rejected)
+    assert telling and right >= least * (right + missed) and wrong <= 0.01 * len(marks), (right, missed, wrong)
+
+
 @pytest.mark.parametrize("run", [
     lambda d, s: exact_dedup.deduplicated(d), lambda d, s: suffix_dedup.deduplicated(d),
     lambda d, s: ngram_join.joined(d, 3, 90, 100), lambda d, s: secret_scan.secrets(d), lambda d, s: sharding.sharded(d, 24),
