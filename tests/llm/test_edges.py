@@ -272,6 +272,12 @@ def test_lm_scores(docs, rows):
         [(r[0], len(SPACE_WORD.findall(r[1] or ""))) for r in rows], key=key)
 
 
+def test_lm_scores_without_words(spark):
+    """A table whose texts have no word: a row with sum 0 for each."""
+    frame = spark.createDataFrame([(1, None), (2, ""), (3, " \t\n"), (3, " ")], "doc_id bigint, text string")
+    same(lm_scoring.scored(frame).select("doc_id", "n_tokens", "log_score"), [(1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0), (3, 0, 0.0)])
+
+
 def test_licenses(spark, docs, rows):
     got = license_scan.matched(docs).collect()
     assert len(got) == len(rows)
