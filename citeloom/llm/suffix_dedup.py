@@ -1,11 +1,11 @@
-"""Substring deduplication over suffix arrays and longest-previous-factor runs, for a corpus that no machine holds.
+"""Substring deduplication by classes of equal prefixes, for a corpus that no machine holds.
 
-A position repeats if the ``least`` bytes that start there start somewhere else too.  In suffix order such positions lie
-in runs of neighbours whose common prefix is ``least`` or longer; inside a run the previous and next smaller positions
-are the earlier copies, so a position has an earlier copy (its longest previous factor reaches ``least``) unless it is
-the smallest of its run, and a later one unless it is the largest.
+A position repeats if the ``least`` bytes that start there start somewhere else too.  Only that is asked, not how far a
+repeat goes, so there is no suffix order, LCP or longest-previous-factor array: prefixes are doubled up to ``least``
+bytes, and positions whose prefixes are equal form a class.  A position has an earlier copy (its longest previous factor
+would reach ``least``) unless it is the smallest of its class, and a later one unless it is the largest.
 
-Suffix arrays are built where they can matter only:
+Classes are built where they can matter only:
 
 1. Every window of ``least`` bytes has an anchor: the position of the least hash among its ``GRAM``-byte runs (leftmost of
    equals).  The anchor depends on the window's bytes alone, so equal windows have equal anchors at equal offsets.
@@ -13,8 +13,8 @@ Suffix arrays are built where they can matter only:
    digest of all bytes these windows span, its context.
 2. Anchors are counted.  One that occurs once holds no repeat.  Equal contexts collapse to (count, first occurrence), so
    groups of copies cost a row per context.
-3. Where an anchor has several contexts, one text of each is cut out and sent to the anchor's bucket, which builds the
-   suffix array of its contexts and finds the runs.  Contexts of an anchor with very many of them are instead cut into
+3. Where an anchor has several contexts, one text of each is cut out and sent to the anchor's bucket, which finds the
+   classes in its contexts.  Contexts of an anchor with very many of them are instead cut into
    windows, whose digests are counted with partial sums, so no group of copies of a common passage meets in one task.
 4. Repeated windows go back to their documents as byte ranges, which are joined and cut out.
 
