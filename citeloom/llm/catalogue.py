@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import (decontamination, exact_dedup, license_scan, lm_scoring, mixing, ngram_join, quality, secret_scan,
-                          sharding, suffix_dedup)
+from citeloom.llm import (decontamination, divergence, exact_dedup, license_scan, lm_scoring, mixing, ngram_join,
+                          periodic_runs, quality, secret_scan, sharding, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -245,3 +245,76 @@ listed AS (
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
     sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN listed USING (doc_id)"""
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audited(table(spark, folder, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+worded AS (SELECT doc_id, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM worded GROUP BY ALL
+         HAVING count(DISTINCT doc_id) >= 10),
+whole AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+used AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM worded JOIN kept USING (lang, term) GROUP BY ALL),
+grouped AS (
+    SELECT g.lang, g.source, coalesce(any_value(w.v), 0) AS v, coalesce(any_value(w.n), 0) AS all_n,
+        coalesce(sum(u.n), 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN whole w ON w.lang = g.lang
+    LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source GROUP BY ALL),
+cell AS (
+    SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS c,
+        1 + 1000000000::HUGEINT * (coalesce(u.n, 0) + 2) // (g.n + 2 * g.v)::HUGEINT AS p,
+        1 + 1000000000::HUGEINT * (k.total + 2) // (g.all_n + 2 * g.v)::HUGEINT AS q
+    FROM grouped g JOIN kept k ON k.lang = g.lang
+    LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+between_groups AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+    FROM grouped a JOIN grouped b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN between_groups x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM cell WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10"""
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the contract's table for op13: texts whose doc_id hashes to a multiple of ten repeat their words
+    from one place on, with a period that the hash chooses.  A null doc_id chooses nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+        return F.when(n > 0, F.array_join(F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i).cast("int"))), " "))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # an array of one, so that the text is split once, not once for each of its words
+    rewritten = F.get(F.transform(F.array(words), repeated), 0)
+    return docs.select("doc_id", F.when(h % 10 == 0, rewritten).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = periodic_runs.detected(planted(table(spark, folder, "documents")))
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), 0)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.shorter")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.shorter") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -194,3 +194,35 @@ def components(links: DataFrame) -> DataFrame:
     roots = edges.select(F.col("b").alias("a")).distinct().join(nodes.select("a"), "a", "left_anti")
     return nodes.select(F.col("a").alias("node"), F.col("c").alias("component")).union(
         roots.select(F.col("a").alias("node"), F.col("a").alias("component")))
+
+
+def spelled(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """(words, number of words per text) for texts that lie one after the other in ``data``."""
+    inside = kind[data]
+    before, after = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    before[bounds[:-1][bounds[:-1] < len(data)]] = False
+    after[bounds[1:][bounds[1:] > 0] - 1] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    offsets = np.zeros(len(starts) + 1, dtype=np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.BinaryArray.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    return words, np.diff(np.searchsorted(starts, bounds))
+
+
+def spelled_by_row(column: pa.Array, kind: np.ndarray, lower: bool = False) -> Iterator[
+        tuple[int, int, pa.BinaryArray, np.ndarray]]:
+    """(first row, last row, words, words per row) for runs of rows; ``lower`` maps A-Z only."""
+    data, offsets = text_bytes(column)
+    for first, last in row_runs(offsets):
+        part = data[offsets[first]:offsets[last]]
+        if lower:
+            part = LOWER[part]
+        if len(part) <= PIECE_BYTES:
+            words, counts = spelled(part, offsets[first:last + 1] - offsets[first], kind)
+        else:
+            cuts = _cuts(part, kind)
+            words = pa.concat_arrays([spelled(part[a:b], np.array([0, b - a]), kind)[0] for a, b in zip(cuts, cuts[1:])])
+            counts = np.array([len(words)])
+        yield first, last, words, counts
