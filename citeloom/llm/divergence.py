@@ -77,7 +77,8 @@ def kept_terms(counts: DataFrame, least: int = LEAST_DOCUMENTS, block_terms: int
         F.sum("n").alias("total"), F.sum("docs").alias("docs"),
         F.sort_array(F.collect_list(F.struct("source", "n"))).alias("shape"))
     terms = settled(terms.where(F.col("docs") >= least).withColumn("magnitude", F.length(F.bin("total"))).drop("docs"))
-    parts = terms.groupBy("lang", "magnitude").agg(F.ceil(F.count("*") / block_terms).alias("parts"))
+    # written first: a join of two exchanges by magnitude would deal the windows below by magnitude too
+    parts = settled(terms.groupBy("lang", "magnitude").agg(F.ceil(F.count("*") / block_terms).alias("parts")))
     dealt = terms.join(parts, ["lang", "magnitude"]).withColumn("part", F.pmod(F.xxhash64("term"), "parts"))
     order = Window.partitionBy("lang", "magnitude", "part").orderBy("shape", "term")
     return dealt.withColumn("place", F.row_number().over(order) - 1).select(
