@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import (decontamination, divergence, exact_dedup, license_scan, lm_scoring, mixing, ngram_join,
-                          periodic_runs, quality, secret_scan, sharding, suffix_dedup)
+                          periodic_runs, personal_data, quality, secret_scan, sharding, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -287,6 +287,13 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
 FROM found QUALIFY part = 'pair' OR rank <= 10"""
 
 
+@query
+def op12_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.extracted(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of the contract's table for op13: texts whose doc_id hashes to a multiple of ten repeat their words
     from one place on, with a period that the hash chooses.  A null doc_id chooses nothing."""
