@@ -58,6 +58,14 @@ WITH notice(license, text) AS (VALUES {notices}),
 worded AS (
     SELECT doc_id, NULL AS license, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents
     UNION ALL SELECT NULL, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') FROM notice),
+brief AS (SELECT license, len(w) AS size, array_to_string(w, ' ') AS s FROM worded
+          WHERE license IS NOT NULL AND len(w) BETWEEN 1 AND 4),
+said AS (
+    SELECT doc_id, brief.license, min(i) - 1 AS start
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+          FROM worded, (SELECT DISTINCT size FROM brief) WHERE doc_id IS NOT NULL) d
+    JOIN brief ON brief.size = d.size AND array_to_string(w[i:i + d.size - 1], ' ') = brief.s
+    GROUP BY doc_id, brief.license),
 shingle AS (
     SELECT doc_id, license, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s
     FROM (SELECT doc_id, license, w, unnest(range(1, len(w) - 3)) AS i FROM worded)),
@@ -75,7 +83,8 @@ contained AS (
     GROUP BY doc_id, license, m, start),
 best AS (
     SELECT doc_id, license, c, start FROM contained
-    WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY c DESC, start) = 1),
+    WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY c DESC, start) = 1
+    UNION ALL SELECT doc_id, license, 1, start FROM said),
 listed AS (
     SELECT doc_id, count(*) AS n, string_agg(license || ':' || CAST(floor(c * 1000) AS BIGINT) || ':' || start, ','
         ORDER BY license) AS t FROM best GROUP BY doc_id)
