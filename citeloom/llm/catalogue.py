@@ -138,7 +138,7 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = suffix_dedup.deduplicated(table(spark, folder, "documents"), keep_first=False)
     return rows.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"))
+        F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 @query
