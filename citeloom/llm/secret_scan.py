@@ -5,7 +5,8 @@ version) triples have been scanned; a run scans one copy of each blob, by the ru
 joins the findings of its blobs back to every row that holds them.
 
 A match's place follows from the pieces around it: ``split`` by the rule gives the text between the matches, so the
-start of a match is the length of all pieces and matches before it, in code points.
+start of a match is the length of all pieces and matches before it, in code points: a running sum over the matches of one
+rule in one blob, each a row.
 
 Defined results: a null text is empty and has no secret; copies and repeated rows all get the findings of their blob;
 matches of one rule never overlap; an empty table gives no rows; further columns play no part.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.shared import checkpoint_folder, row_identity, settled
@@ -45,27 +46,24 @@ FINDINGS = "blob string, kind string, rule_version int, rank int, start bigint,
 SCANNED = "blob string, kind string, rule_version int"
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """array<struct(rank, start, stop)> of a rule's matches in ``text``."""
+def matches(text: Column, rule: Rule, rank: int) -> Column:
+    """array<struct(rank, pos, gap, long, kept)> of a rule's matches in ``text``, in order; ``gap`` is the length of what is
+    before a match and after the one before."""
     pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    part = F.regexp_extract_all(text, pattern, F.lit(rule.part)) if rule.part else whole
-    between = F.split(text, rule.pattern, -1)
-    steps = F.transform(F.arrays_zip(whole.alias("w"), part.alias("p")), lambda m, i: F.struct(
-        F.char_length(F.element_at(between, i + 1)).alias("gap"), F.char_length(m["w"]).alias("long"),
-        (F.char_length(m["p"]) >= rule.least).alias("kept")))
-    kind = "struct<at:bigint,found:array<struct<rank:int,start:bigint,stop:bigint>>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(
-        "array<struct<rank:int,start:bigint,stop:bigint>>").alias("found")).cast(kind)
-
-    def step(state: Column, m: Column) -> Column:
-        start = (state["at"] + m["gap"]).cast("bigint")
-        stop = (start + m["long"]).cast("bigint")
-        new = F.array(F.struct(F.lit(rank).alias("rank"), start.alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(m["kept"], F.concat(state["found"], new)).otherwise(
-            state["found"]).alias("found")).cast(kind)
-
-    return F.aggregate(steps, zero, step)["found"]
+    pieces = [F.regexp_extract_all(text, pattern, F.lit(0)).alias("w"), F.split(text, rule.pattern, -1).alias("g")]
+    if rule.part:
+        pieces.append(F.regexp_extract_all(text, pattern, F.lit(rule.part)).alias("p"))
+    # zipped, so that a lambda looks at its own match only; the last piece has no match after it
+    return F.transform(F.filter(F.arrays_zip(*pieces), lambda m: m["w"].isNotNull()), lambda m, i: F.struct(
+        F.lit(rank).alias("rank"), i.alias("pos"), F.char_length(m["g"]).alias("gap"),
+        F.char_length(m["w"]).alias("long"), (F.char_length(m["p" if rule.part else "w"]) >= rule.least).alias("kept")))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(blob, rank, start, stop) of the kept ones of ``found``(blob, rank, pos, gap, long, kept)."""
+    so_far = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ended = found.withColumn("stop", F.sum(F.col("gap") + F.col("long")).over(so_far))
+    return ended.where("kept").select("blob", "rank", (F.col("stop") - F.col("long")).alias("start"), "stop")
 
 
 def ledger(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
@@ -94,16 +92,14 @@ def scanned(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> Da
         "done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size("done") < len(rules)))
     texts = keyed.withColumn("who", row_identity("doc_id", "blob")).join(
         todo, ["blob", "who"]).select("blob", "text", "done")
-    nothing = F.array().cast("array<struct<rank:int,start:bigint,stop:bigint>>")
+    nothing = F.array().cast("array<struct<rank:int,pos:int,gap:int,long:int,kept:boolean>>")
     kinds = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules])
-    found = F.transform(F.flatten(F.array(*[
-        F.when(F.array_contains("done", rule.kind), nothing).otherwise(spans(F.col("text"), rule, rank))
-        for rank, rule in enumerate(rules)])), lambda s: F.struct(
-            F.element_at(kinds, s["rank"] + 1)["kind"].alias("kind"),
-            F.element_at(kinds, s["rank"] + 1)["rule_version"].alias("rule_version"), s["rank"].alias("rank"),
-            s["start"].alias("start"), s["stop"].alias("stop")))
-    texts.select("blob", F.explode(found).alias("f")).select("blob", "f.*").write.mode("append").parquet(
-        f"{folder}/findings")
+    found = F.flatten(F.array(*[
+        F.when(F.array_contains("done", rule.kind), nothing).otherwise(matches(F.col("text"), rule, rank))
+        for rank, rule in enumerate(rules)]))
+    spans = placed(texts.select("blob", F.explode(found).alias("f")).select("blob", "f.*"))
+    spans.withColumn("rule", F.get(kinds, F.col("rank"))).select("blob", "rule.*", "rank", "start", "stop").write.mode(
+        "append").parquet(f"{folder}/findings")
     todo.select("blob", F.explode(kinds).alias("r"), "done").select("blob", "r.*", "done").where(
         ~F.array_contains("done", F.col("kind"))).drop("done").write.mode("append").parquet(f"{folder}/scanned")
     return paths
