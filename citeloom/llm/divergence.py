@@ -35,6 +35,7 @@ from citeloom.llm.shared import in_small_batches, settled, spelled_by_row
 LEAST_DOCUMENTS = 10
 LEADING = 10
 BLOCK_TERMS = 8192
+HELD_ROWS = 1_000_000
 TILE = 32
 
 #: Word bytes: letters A-Z and a-z, and all bytes of characters beyond ASCII.
@@ -42,29 +43,51 @@ LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of every term of every group."""
+KEY = ["lang", "source", "term"]
+
+
+def _counts(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    """Occurrences and documents of every term of every group, per run of rows."""
+    groups = pd.MultiIndex.from_arrays([batch.column(0).to_pandas(), batch.column(1).to_pandas()])
+    of_row, names = pd.factorize(groups)
+    for first, last, words, counts in spelled_by_row(batch.column(2), LETTERS, lower=True):
+        coded = words.dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(first, last), counts)
+        key, n = np.unique(of_row[row] * size + codes, return_counts=True)
+        held = np.unique(row * size + codes)
+        docs_of = np.unique(of_row[held // size] * size + held % size, return_counts=True)[1]
+        group = names.take(key // size)
+        yield pa.table([
+            pa.array(group.get_level_values(0), pa.string()), pa.array(group.get_level_values(1), pa.string()),
+            coded.dictionary.take(pa.array(key % size)).cast(pa.string()), pa.array(n), pa.array(docs_of)],
+            names=[*KEY, "n", "docs"])
+
+
+def counted(docs: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences and documents of every term of every group.
+
+    A task sums what it has counted whenever that has reached ``held_rows`` rows, and hands it on.
+    """
+    def summed(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        total = pa.concat_tables(tables).group_by(KEY).aggregate([("n", "sum"), ("docs", "sum")])
+        yield from total.rename_columns([*KEY, "n", "docs"]).to_batches(max_chunksize=100_000)
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: list[pa.Table] = []
         for batch in batches:
-            groups = pd.MultiIndex.from_arrays([batch.column(0).to_pandas(), batch.column(1).to_pandas()])
-            of_row, names = pd.factorize(groups)
-            for first, last, words, counts in spelled_by_row(batch.column(2), LETTERS, lower=True):
-                coded = words.dictionary_encode()
-                size = max(1, len(coded.dictionary))
-                codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(first, last), counts)
-                key, n = np.unique(of_row[row] * size + codes, return_counts=True)
-                held = np.unique(row * size + codes)
-                docs_of = np.unique(of_row[held // size] * size + held % size, return_counts=True)[1]
-                group = names.take(key // size)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(group.get_level_values(0), pa.string()), pa.array(group.get_level_values(1), pa.string()),
-                    coded.dictionary.take(pa.array(key % size)).cast(pa.string()), pa.array(n), pa.array(docs_of)],
-                    names=["lang", "source", "term", "n", "docs"])
+            for table in _counts(batch):
+                tables.append(table)
+                if sum(len(t) for t in tables) >= held_rows:
+                    yield from summed(tables)
+                    tables = []
+        if tables:
+            yield from summed(tables)
 
     rows = docs.select(*_group(docs), "text")
     partial = in_small_batches(rows).mapInArrow(work, "lang string, source string, term string, n bigint, docs bigint")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return partial.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _group(docs: DataFrame) -> list[Column]:
