@@ -48,7 +48,7 @@ def question_tokens(questions: DataFrame, scope: str = "doc_id") -> DataFrame:
         "q_id", F.col(scope).alias("scope"), T.token_set(F.col("question")).alias("tokens")))
 
 
-def _units(df: Column, size: Column) -> Column:
+def token_units(df: Column, size: Column) -> Column:
     weight = F.ln((size + F.lit(1)) / (df + F.lit(0.5))) + F.lit(1.0)
     return F.round(weight * F.lit(float(WEIGHT_UNIT))).cast("bigint")
 
@@ -63,7 +63,7 @@ def token_weights(found: DataFrame, sizes: DataFrame, asked: DataFrame) -> DataF
     """(q_id, scope, token, df, units) for question tokens that occur in their collection."""
     frequency = found.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
     return asked.join(frequency, ["scope", "token"]).join(sizes, "scope").select(
-        "q_id", "scope", "token", "df", _units(F.col("df"), F.col("n_chunks")).alias("units"))
+        "q_id", "scope", "token", "df", token_units(F.col("df"), F.col("n_chunks")).alias("units"))
 
 
 def scores(found: DataFrame, weights: DataFrame) -> DataFrame:
@@ -86,21 +86,16 @@ def search(
     questions: DataFrame,
     k: int = fixed.DEFAULT_TOP_K,
     scope: str = "doc_id",
-    index: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked chunks per question and the token weights they were ranked with.
 
-    ``index`` may be a stored one (:func:`write_index`); otherwise chunks are tokenised here.  There is one plan for any
+    For collections that are asked once, or small ones such as single documents: chunks are tokenised here, and every chunk
+    that shares a token is scored (:mod:`index` keeps an index and scores what can matter).  There is one plan for any
     number of questions: asked tokens are written down, so that Spark knows their size and broadcasts them where they
     are few; the postings they meet are written down once, and document frequencies and scores are taken from those.
     """
     asked = settled(question_tokens(questions, scope))
-    index = token_sets(chunk_rows, scope) if index is None else index
-    found = settled(matches(index, asked))
+    found = settled(matches(token_sets(chunk_rows, scope), asked))
     weights = settled(token_weights(found, collection_sizes(chunk_rows, scope), asked))
     return top_k(scores(found, weights), k), weights
 
-
-def write_index(chunk_rows: DataFrame, path: str, scope: str = "doc_id") -> None:
-    """Keep the forward index as a table for later question batches."""
-    token_sets(chunk_rows, scope).write.mode("overwrite").parquet(path)
