@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import batching as B
+from citeloom.operators import calls
 from citeloom.operators import segmentation as S
 from citeloom.operators import terminology as TM
 from citeloom.plans import carry
@@ -65,12 +66,13 @@ def test_batches_across_blocks(spark, monkeypatch, size, budget):
         assert [got[(doc, r[1])] for r in mine] == expected
 
 
-def test_reference_batches(spark):
+def test_reference_batches(spark, tmp_path):
     texts = [f"Nội dung nguồn số {i} có nghĩa vụ riêng." for i in range(4)]
     frame = spark.createDataFrame([(1, f"P{i + 1}-D1", i + 1, 1, t) for i, t in enumerate(texts)],
                                   "doc_id int, chunk_id string, page int, ordinal int, text string")
     numbered = B.batches(frame, 50)
     assert numbered.agg(F.countDistinct("batch")).first()[0] == 4
-    answered = B.mapped(B.batch_evidence(frame, numbered), lambda ids, text: f"{ids}:{text}")
+    answered = calls.answered(B.batch_evidence(frame, numbered), lambda ids, text, attempt: f"{ids}:{text}", str(tmp_path),
+                              lambda rows: rows.withColumns({"error": F.lit(None).cast("string"), "value": F.lit(1)}), "")
     assert {r.content for r in answered.collect()} == {
         f"['P{i + 1}-D1']:[P{i + 1}-D1] {t}" for i, t in enumerate(texts)}
