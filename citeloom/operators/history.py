@@ -42,6 +42,11 @@ def fold_transitions(transitions: DataFrame) -> DataFrame:
         F.max_by(state, last_open).alias("open"),
         F.min_by(state, closing).alias("closed"),
         F.min(F.when(~attached & ~(created & (F.col("status") == "queued")), F.col("at"))).alias("started_at"))
+    return folded_rows(folded)
+
+
+def folded_rows(folded: DataFrame) -> DataFrame:
+    """Task rows from folds: (task_id, born, document_id, open, closed, started_at)."""
     now = F.coalesce("closed", "open")
     elapsed = _seconds_between(F.col("born.at"), F.col("closed.at"))
     duration = F.when(F.col("closed").isNull(), now["duration_seconds"]).when(

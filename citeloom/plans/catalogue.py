@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,13 @@ from citeloom.functions import fixed
 from citeloom.functions import text as T
 from citeloom.operators import answering as A
 from citeloom.operators import batching as B
+from citeloom.operators import calls as CL
 from citeloom.operators import citing as CT
 from citeloom.operators import display as V
 from citeloom.operators import drafting as D
 from citeloom.operators import gates as G
 from citeloom.operators import history as H
+from citeloom.operators import index as IX
 from citeloom.operators import references as E
 from citeloom.operators import report as RP
 from citeloom.operators import retrieval as R
@@ -290,8 +293,12 @@ def collection_size(spark, folder):
 
 @query
 def lexical_topk(spark, folder):
-    ranked, _ = R.search(
-        C.corpus_chunks(spark, folder), C.benchmark_questions(spark, folder), scope="collection")
+    """Documents go into a stored index in two batches; questions are answered from what is stored."""
+    root, rows = f"{checkpoint_folder(spark)}/index-{uuid4().hex}", C.corpus_chunks(spark, folder)
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
+    for batch in (~late, late):
+        IX.add_segment(rows.where(batch), root, "collection")
+    ranked, _ = IX.search(spark, root, C.benchmark_questions(spark, folder), scope="collection")
     return ranked.select("q_id", "doc_id", "chunk_id", F.round("lexical", 6).alias("score"),
                          F.col("rank").cast("bigint").alias("rank"))
 
@@ -673,7 +680,7 @@ def decoded_responses(spark, folder):
 # --- reports written with a model -----------------------------------------------------------------
 
 
-def _mapper(ids: list[str], text: str) -> str:
+def _mapper(ids: list[str], text: str, attempt: int) -> str:
     """A stand-in for a model: a finding per id, six at most; some responses are empty, some are cut off."""
     found = [{"text": f"{i} {len(text)}", "kind": "context", "citation_ids": [i, "X"]} for i in ids[:6]]
     content = json.dumps({"findings": [] if len(ids) % 7 == 3 else found, "term_candidates": []})
@@ -682,9 +689,33 @@ def _mapper(ids: list[str], text: str) -> str:
 
 def _map_results(rows):
     batched = B.batch_evidence(rows, B.batches(rows, B.configured_budget(2000)))
-    answered = B.mapped(batched, _mapper).withColumns({
-        "finish_reason": F.lit("stop"), "refusal": F.lit(None).cast("string")})
-    return settled(D.map_results(answered))
+    ledger = f"{checkpoint_folder(rows.sparkSession)}/calls-{uuid4().hex}"
+    return settled(CL.answered(batched, _mapper, ledger, D.map_results, D.MAP_OUTPUT))
+
+
+def _shaky_mapper(ids: list[str], text: str, attempt: int) -> str:
+    """The same, by a provider that fails: some calls time out, some are refused, cut-off responses are whole when asked
+    for again."""
+    if len(ids) % 7 == 1:
+        raise TimeoutError
+    if len(ids) % 7 == 6:
+        raise CL.HttpError(503, "overloaded")
+    if len(ids) % 7 == 2:
+        raise ConnectionError
+    whole = _mapper(ids, text, attempt)
+    return whole + "}" if attempt and len(ids) % 7 == 5 else whole
+
+
+@query
+def call_ledger(spark, folder):
+    """Every batch's call with a failing provider, from a ledger that a second run finds complete."""
+    rows = settled(C.statute_chunks(spark, folder))
+    batched = settled(B.batch_evidence(rows, B.batches(rows, B.configured_budget(2000))))
+    ledger = f"{checkpoint_folder(spark)}/calls-{uuid4().hex}"
+    settled(CL.answered(batched, _shaky_mapper, ledger, D.map_results, D.MAP_OUTPUT))
+    again = CL.answered(batched, _shaky_mapper, ledger, D.map_results, D.MAP_OUTPUT)
+    return long_columns(again.select("doc_id", "batch", "attempts", "code", F.coalesce(
+        count_of(F.col("value.findings")), F.lit(0)).alias("n_findings"), "error"))
 
 
 @query
@@ -788,6 +819,35 @@ def enriched_report(spark, folder):
         joined(F.transform("related_documents", lambda r: r["document_number"])).alias("numbers"))
 
 
+@query
+def enrichment_window(spark, folder):
+    """Requests and their results as two streams: every event asks, and is answered after ``value`` seconds (unless it is
+    an error) and, for uploads, once more after twice as long."""
+    from citeloom.streaming import enrichment_stream as ES
+
+    root = f"{checkpoint_folder(spark)}/enrichment-{uuid4().hex}"
+    events = C.table(spark, folder, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    # both streams end with a moment after all others, so that the last requests are settled too
+    closing = events.agg((F.max("ts") + F.expr("INTERVAL 1 day")).alias("at")).where("at IS NOT NULL")
+    times = F.when(F.col("event_type") == "error", F.expr("array()")).when(
+        F.col("event_type") == "signup", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    found = events.select("event_id", "ts", "value", F.explode(times.cast("array<int>")).alias("n")).select(
+        "event_id", F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("value") * 1e6).cast("bigint") * F.col("n")).alias("at"))
+    nobody = F.lit(-1).cast("bigint")
+    for name, rows in (("asked", events.select("event_id", F.col("ts").alias("at"))), ("found", found)):
+        rows.unionByName(closing.select(nobody.alias("event_id"), "at")).write.parquet(f"{root}/{name}")
+
+    def stream(name):
+        rows = spark.readStream.schema("event_id bigint, at timestamp").parquet(f"{root}/{name}")
+        return rows.select(F.col("event_id").alias("doc_id"), F.col("at").alias(f"{name}_at"))
+
+    ES.keep_enrichment(stream("asked"), stream("found"), f"{root}/table", f"{root}/state").awaitTermination()
+    kept = ES.enrichment(spark.read.schema("doc_id bigint, asked_at timestamp, found_at timestamp").parquet(f"{root}/table"))
+    return long_columns(kept.where("doc_id >= 0").select(
+        F.col("doc_id").alias("event_id"), "enrichment_status", "n_related",
+        F.round((F.unix_micros("last_at") - F.unix_micros("asked_at")) / 1e6, 6).alias("waited")))
+
+
 # --- task history ---------------------------------------------------------------------------------
 
 
@@ -942,15 +1002,14 @@ def lifecycle_violations(spark, folder):
 @query
 def history_stream(spark, folder):
     """The fold driven by a file stream, read back as the newest version of every task."""
-    from uuid import uuid4
-
     from citeloom.streaming import history_stream as HS
 
     events = C.table(spark, folder, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{folder}/ev*ents.parquet")
     root = f"{checkpoint_folder(spark)}/history-{uuid4().hex}"
     HS.keep_history(C.transitions_of(source), f"{root}/table", f"{root}/state").awaitTermination()
-    folded = HS.current_history(spark.read.parquet(f"{root}/table"))
+    HS.compact(spark, f"{root}/table")
+    folded = HS.current_history(spark, f"{root}/table")
     return shown_tasks(folded).withColumn("duration_seconds", F.round("duration_seconds", 6))
 
 
