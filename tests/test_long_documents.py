@@ -76,3 +76,36 @@ def test_reference_batches(spark, tmp_path):
                               lambda rows: rows.withColumns({"error": F.lit(None).cast("string"), "value": F.lit(1)}), "")
     assert {r.content for r in answered.collect()} == {
         f"['P{i + 1}-D1']:[P{i + 1}-D1] {t}" for i, t in enumerate(texts)}
+
+
+def walked(rows):
+    """The glossary rule as a plain walk: a title opens, the next article closes, definitions open within."""
+    title, is_open, definition, found = None, False, None, []
+    for chunk_id, place, text, article in rows:
+        if "Giải thích từ ngữ" in text:
+            title, is_open, definition = article, True, None
+        elif is_open and (text.startswith("Điều") or (article is not None and article != title)):
+            is_open = False
+        if is_open and " là " in text:
+            definition = place
+        if is_open and definition:
+            found.append((chunk_id, definition))
+    return found
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 100])
+def test_glossary_against_a_plain_walk(spark, monkeypatch, size):
+    rng, rows, expected = random.Random(size), [], []
+    texts = ["Giải thích từ ngữ", "Điều 3 mới", "1. thuật ngữ là nghĩa", "chữ thường", "chữ thường", "2. từ là nghĩa khác"]
+    for doc in range(150):
+        mine = []
+        for page in range(1, rng.randint(2, 25)):
+            for ordinal in range(1, rng.randint(1, 4)):
+                text = rng.choice(texts) if rng.random() < 0.6 else "chữ thường"
+                article = rng.choice([None, None, "A", "A", "A", "B"] if doc % 2 else [None, "A"])
+                mine.append((f"P{page}-D{ordinal}", (page, ordinal), text, article))
+        rows += [(doc, c, *p, t, None, None, a, None, None) for c, p, t, a in mine]
+        expected += [(doc, *f) for f in walked(mine)]
+    tiny_blocks(monkeypatch, size)
+    got = TM.glossary_rows(spark.createDataFrame(rows, CHUNK)).select("doc_id", "chunk_id", "definition").collect()
+    assert sorted((r.doc_id, r.chunk_id, tuple(r.definition)) for r in got) == sorted(expected) and len(expected) > 100
