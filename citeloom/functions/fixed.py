@@ -28,24 +28,19 @@ STOP_WORDS = [
 ]
 OTHER_ACT_PREFIXES = ["quyết định", "nghị định", "nghị quyết", "thông tư", "bộ luật", "pháp lệnh"]
 LAW_PREFIX = "luật "
-HISTORY_WORDS = ["cũ", "cựu", "hết hiệu lực", "bãi bỏ", "thay thế", "thay đổi", "sửa đổi", "bổ sung", "đã bị", "bị"]
 NUMBER_INTENT = ["số hiệu", "số văn bản", "mã quyết định", "số quyết định"]
 DATE_INTENT = ["ngày", "thời hạn", "hạn chót", "deadline", "khi nào"]
 AGENCY_INTENT = ["cơ quan nào", "đơn vị nào", "ai chịu", "ai là", "ai phụ trách"]
 MONEY_INTENT = ["bao nhiêu tiền", "mức tiền", "kinh phí", "số tiền", "mức hỗ trợ"]
-AGENCY_HEADS = ["Sở", "Bộ", "UBND", "HĐND", "Cơ quan", "Ủy ban nhân dân"]
-AGENCY_STOPS = ["chịu", "thực", "quản", "phân", "có", "là", "được", "đảm", "kính", "trình"]
-MONEY_UNITS = ["triệu", "tỷ", "đồng", "VNĐ", "%"]
 
 # --- terminology --------------------------------------------------------------------------------
+# Patterns of evidence that counts, and of evidence with consequences.
+LEGAL_SIGNAL = (
+    r"(?iU)\b(có quyền|có nghĩa vụ|nghĩa vụ|quyền|không được|cấm|bị cấm|điều kiện|thủ tục|trình tự|xử phạt|chế tài|tranh chấp|"
+    r"vi phạm|người lao động|người sử dụng lao động|cơ quan|tổ chức|pháp nhân|hợp đồng|thỏa ước|đại diện)\b"
+)
+IMPACT_SIGNAL = r"(?iU)\b(quyền|nghĩa vụ|trách nhiệm|cấm|xử phạt|tranh chấp|vi phạm)\b"
 DEFINITION_REASON = "Thuật ngữ được tài liệu định nghĩa trực tiếp."
-LEGAL_SIGNALS = [
-    "có quyền", "có nghĩa vụ", "nghĩa vụ", "quyền", "không được", "cấm", "bị cấm",
-    "điều kiện", "thủ tục", "trình tự", "xử phạt", "chế tài", "tranh chấp", "vi phạm",
-    "người lao động", "người sử dụng lao động", "cơ quan", "tổ chức", "pháp nhân",
-    "hợp đồng", "thỏa ước", "đại diện",
-]
-IMPACT_SIGNALS = ["quyền", "nghĩa vụ", "trách nhiệm", "cấm", "xử phạt", "tranh chấp", "vi phạm"]
 GENERIC_TERMS = [
     "quyết định", "trách nhiệm", "tác động", "quốc hội", "văn bản", "dự thảo",
     "nghị định", "thông tư", "điều", "chương", "mục",
@@ -82,10 +77,11 @@ QUESTION_RUBRIC = 3
 
 # --- related documents --------------------------------------------------------------------------
 ALLOWED_DOMAINS = ["gov.vn", "vnexpress.net"]
-ACT_TYPES = [
-    "Bộ luật", "Luật", "Pháp lệnh", "Nghị định", "Nghị quyết", "Thông tư liên tịch", "Thông tư",
-    "Quyết định", "Chỉ thị", "Kế hoạch", "Đề án", "Công văn",
-]
+# Fixed value: pattern of the kinds of acts.
+ACT_TYPE = (
+    r"Bộ\s+luật|Luật|Pháp\s+lệnh|Nghị\s+định|Nghị\s+quyết|Thông\s+tư(?:\s+liên\s+tịch)?|Quyết\s+định|Chỉ\s+thị|"
+    r"Kế\s+hoạch|Đề\s+án|Công\s+văn"
+)
 SEARCH_SUFFIX = " văn bản quy định chính thức"
 SOURCE_CITED = "cited_in_document"
 SOURCE_WEB = "tavily"

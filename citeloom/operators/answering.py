@@ -12,24 +12,20 @@ from citeloom.operators.citing import check_citations, validation
 from citeloom.plans.durable import settled
 
 
-def _either(choices: list[str]) -> str:
-    return "|".join(choices)
-
-
 # Evidence and question patterns.
 DOCUMENT_NUMBER = r"(?U)\b\d{1,5}/\d{4}/[A-ZĐ][A-ZĐ0-9-]*\b"
 DATE = r"(?U)\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
 AGENCY = (
-    r"(?U)\b(?:" + _either(fixed.AGENCY_HEADS) + r")"
-    r"(?:\s+[A-ZÀ-ỸĐ][\wÀ-ỹ-]*|\s+(?!(?:" + _either(fixed.AGENCY_STOPS) + r")\b)[a-zà-ỹ][\wÀ-ỹ-]*){0,6}"
+    r"(?U)\b(?:Sở|Bộ|UBND|HĐND|Cơ quan|Ủy ban nhân dân)"
+    r"(?:\s+[A-ZÀ-ỸĐ][\wÀ-ỹ-]*|\s+(?!(?:chịu|thực|quản|phân|có|là|được|đảm|kính|trình)\b)[a-zà-ỹ][\wÀ-ỹ-]*){0,6}"
 )
-MONEY = r"(?iU)\b\d[\d.,]*\s*(?:" + _either(fixed.MONEY_UNITS) + r")\b"
+MONEY = r"(?iU)\b\d[\d.,]*\s*(?:triệu|tỷ|đồng|VNĐ|%)\b"
 ARTICLE_ASKED = r"(?U)\bđiều\s+(\d+)\b"
 CLAUSE_ASKED = r"(?U)\bkhoản\s+(\d+)\b"
 PLACE_ASKED = r"(?U)\b(?:điều|khoản)\s+\d+"
 IDENTITY_ASKED = r"(?sU)^\s*số hiệu\s+của\s+((?-s:.+?))\s+là\s+gì\s*[?!.]?\s*$"
 LAW_ASKED = r"(?U)^\s*số hiệu\s+của\s+(luật\s+.+?)\s+là\s+gì\s*[?!.]?\s*$"
-LAW_HISTORY = r"(?U)\b(?:" + _either(fixed.HISTORY_WORDS) + r")\b"
+LAW_HISTORY = r"(?U)\b(?:cũ|cựu|hết hiệu lực|bãi bỏ|thay thế|thay đổi|sửa đổi|bổ sung|đã bị|bị)\b"
 LAW_NUMBER = r"(?iU)\bLuật\s+số\s*:\s*([0-9]{1,5}/[0-9]{4}/[A-ZĐ0-9-]+)\b"
 LAW_TITLE = r"(?iU)\bLUẬT\s+(.+?)(?=\s+Căn cứ\b|\s+CAN CỨ\b|$)"
 
@@ -163,7 +159,7 @@ def law_identifiers(questions: DataFrame, chunk_rows: DataFrame, scope: str = "d
     staged = staged.withColumns({
         "entity": F.regexp_extract("asked", IDENTITY_ASKED, 1), "law": F.regexp_extract("asked", LAW_ASKED, 1)})
     entity, law = F.col("entity"), F.col("law")
-    other_act = entity.rlike("^(?:" + _either(fixed.OTHER_ACT_PREFIXES) + ")")
+    other_act = entity.rlike("^(?:" + "|".join(fixed.OTHER_ACT_PREFIXES) + ")")
     named = F.size(T.words(entity)) >= 2
     parsed = staged.select(
         "q_id", "scope",

@@ -10,9 +10,8 @@ from citeloom.functions import text as T
 
 # Reference grammar.
 ACT_NUMBER = r"\b\d{1,4}(?:/\d{4})?/[A-ZĐ0-9-]{2,}(?:/[A-ZĐ0-9-]{2,})?\b"
-ACT_TYPE = "|".join(name.replace(" ", r"\s+") for name in fixed.ACT_TYPES)
-BRACKETED = rf"(?iU)(\b(?:{ACT_TYPE})\b[^.;\n()]{{2,100}}?)\s*\(({ACT_NUMBER})\)"
-NUMBERED = rf"(?iU)(\b(?:{ACT_TYPE})\b\s*(?:số\s*)?({ACT_NUMBER})(?:\s+[^.;\n()]{{0,80}})?)"
+BRACKETED = rf"(?iU)(\b(?:{fixed.ACT_TYPE})\b[^.;\n()]{{2,100}}?)\s*\(({ACT_NUMBER})\)"
+NUMBERED = rf"(?iU)(\b(?:{fixed.ACT_TYPE})\b\s*(?:số\s*)?({ACT_NUMBER})(?:\s+[^.;\n()]{{0,80}})?)"
 NAMED_LAW = r"(?U)\b(?:Bộ\s+luật|Luật)\s+[A-ZÀ-ỴĐ][^.;\n()]{2,80}"
 NUMBER = r"(?iU)" + ACT_NUMBER
 
