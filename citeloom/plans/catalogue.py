@@ -412,17 +412,18 @@ def _tampered(citation_rows):
 
 @query
 def model_answer(spark, folder):
-    """Answers with a model's proposals: some quote their source, some do not, some cite badly."""
+    """Answers with a model's proposals: each from any chunk of its document, retrieved or not; some quote their source,
+    some do not, some cite badly."""
     rows = settled(C.statute_chunks(spark, folder))
     questions = _questions(spark, folder)
-    first = rows.where("chunk_id = 'P1-D1'")
-    quote = F.col("text")
-    proposals = first.select(
+    drawn = F.md5(F.concat("chunk_id", F.lit("-"), "doc_id"))
+    picked = rows.groupBy("doc_id").agg(F.max_by(F.struct("chunk_id", "text"), drawn).alias("c")).select("doc_id", "c.*")
+    proposals = picked.select(
         F.col("doc_id").alias("q_id"),
-        F.when(F.col("doc_id") % 4 == 0, F.concat(quote, F.lit(" zzz"))).otherwise(
-            F.concat(F.lit("“"), F.lower(quote), F.lit("”"))).alias("answer"),
-        F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("P1-D1"), F.lit("X")))
-        .otherwise(F.array(F.lit(" P1-D1 "))).alias("citation_ids"))
+        F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" zzz"))).otherwise(
+            F.concat(F.lit("“"), F.lower("text"), F.lit("”"))).alias("answer"),
+        F.when(F.col("doc_id") % 5 == 0, F.array(F.col("chunk_id"), F.lit("X")))
+        .otherwise(F.array(F.concat(F.lit(" "), "chunk_id", F.lit(" ")))).alias("citation_ids"))
     return A.answers(rows, questions, model_answers=proposals).select(
         "q_id", "answer", joined(F.col("citation_ids")).alias("citation_ids"),
         F.round("confidence", 6).alias("confidence"), joined(F.col("invalid_reasons")).alias("invalid_reasons"))
@@ -658,9 +659,9 @@ def question_uniqueness(spark, folder):
 
 
 def _responses(spark, folder):
+    """Whole texts as JSON answers: fenced, padded, followed by more, cut off, or as they should be."""
     doc = F.col("doc_id")
-    word = F.coalesce(F.get(C.plain_words(F.col("text")), F.lit(0)), F.lit("none"))
-    body = F.concat(F.lit('{"answer": "'), word, F.lit('", "score": '), doc, F.lit("}"))
+    body = F.to_json(F.struct(F.col("text").alias("answer"), doc.alias("score")))
     content = (
         F.when(doc % 6 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(doc % 6 == 1, F.concat(F.lit("  "), body, F.lit(" ")))
