@@ -94,12 +94,18 @@ def _group(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
 
-def kept_terms(counts: DataFrame, least: int = LEAST_DOCUMENTS, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """(lang, term, total, magnitude, part, place): the vocabulary of each language, dealt into blocks and ordered."""
-    terms = counts.groupBy("lang", "term").agg(
-        F.sum("n").alias("total"), F.sum("docs").alias("docs"),
-        F.sort_array(F.collect_list(F.struct("source", "n"))).alias("shape"))
-    terms = settled(terms.where(F.col("docs") >= least).withColumn("magnitude", F.length(F.bin("total"))).drop("docs"))
+def frequent_terms(counts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(lang, term, total): the terms that enough documents of their language have."""
+    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
+    return terms.where(F.col("docs") >= least).drop("docs")
+
+
+def placed_terms(used: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(lang, term, total, magnitude, part, place): the vocabulary of each language, dealt into blocks and ordered, from
+    ``used``(lang, source, term, n, total)."""
+    terms = settled(used.groupBy("lang", "term").agg(
+        F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("shape")).withColumn(
+        "magnitude", F.length(F.bin("total"))))
     # written first: a join of two exchanges by magnitude would deal the windows below by magnitude too
     parts = settled(terms.groupBy("lang", "magnitude").agg(F.ceil(F.count("*") / block_terms).alias("parts")))
     dealt = terms.join(parts, ["lang", "magnitude"]).withColumn("part", F.pmod(F.xxhash64("term"), "parts"))
@@ -196,8 +202,9 @@ def audited(docs: DataFrame, least: int = LEAST_DOCUMENTS, leading: int = LEADIN
     ``leading`` terms that the group uses more than its language does; ranks count from 1 per group and part.
     """
     counts = settled(counted(docs))
-    kept = settled(kept_terms(counts, least, block_terms))
-    used = settled(counts.drop("docs").join(kept, ["lang", "term"]))
+    counts = settled(counts.drop("docs").join(settled(frequent_terms(counts, least)), ["lang", "term"]))
+    kept = settled(placed_terms(counts, block_terms))
+    used = settled(counts.drop("total").join(kept, ["lang", "term"]))
     whole = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("all"))
     own = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     stats = settled(docs.select(*_group(docs)).distinct().join(own, ["lang", "source"], "left").join(
