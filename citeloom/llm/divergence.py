@@ -34,7 +34,7 @@ from citeloom.llm.shared import in_small_batches, settled, spelled_by_row
 
 LEAST_DOCUMENTS = 10
 LEADING = 10
-BLOCK_TERMS = 8192
+BLOCK_TERMS = 1024
 HELD_ROWS = 1_000_000
 TILE = 32
 
