@@ -31,6 +31,7 @@ from citeloom.operators import segmentation as S
 from citeloom.operators import terminology as TM
 from citeloom.plans.durable import checkpoint_folder, settled
 from citeloom.sources import corpus as C
+from citeloom.sources import history_table as HT
 from citeloom.sources import uploads as U
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -684,7 +685,9 @@ def decoded_responses(spark, folder):
 def _mapper(ids: list[str], text: str, attempt: int) -> str:
     """A stand-in for a model: a finding per id, six at most; some responses are empty, some are cut off."""
     found = [{"text": f"{i} {len(text)}", "kind": "context", "citation_ids": [i, "X"]} for i in ids[:6]]
-    content = json.dumps({"findings": [] if len(ids) % 7 == 3 else found, "term_candidates": []})
+    terms = [{"term": "Nghĩa vụ  thực hiện", "category": "right_obligation", "selection_reason": "lý do chọn", "legal_salience": 80,
+              "reader_difficulty": 60, "citation_ids": [i], "explanation": "giải thích"} for i in ids[:4]]
+    content = json.dumps({"findings": [] if len(ids) % 7 == 3 else found, "term_candidates": terms})
     return content[:-1] if len(ids) % 7 == 5 else content
 
 
@@ -707,6 +710,13 @@ def _shaky_mapper(ids: list[str], text: str, attempt: int) -> str:
     return whole + "}" if attempt and len(ids) % 7 == 5 else whole
 
 
+def _reducer(ids: list[str], text: str, attempt: int) -> str:
+    """A stand-in for a synthesis: a statement per section and five questions, all citing the first id."""
+    statements = {name: [{"text": f"{name} {ids[0]}", "citation_ids": [ids[0], "X"]}] for name in fixed.SUMMARY_SECTIONS}
+    asked = [{"question": f"Câu hỏi {n} {ids[0]}?", "rationale": "lý do", "citation_ids": [ids[0]]} for n in range(1, 6)]
+    return json.dumps({"summary": statements, "questions": asked})
+
+
 @query
 def call_ledger(spark, folder):
     """Every batch's call with a failing provider, from a ledger that a second run finds complete."""
@@ -735,28 +745,32 @@ def model_failures(spark, folder):
 
 @query
 def model_report(spark, folder):
-    """Map, check, reduce and write; any broken response leaves the document with its partial report."""
-    pages = C.statute_pages(spark, folder)
+    """Map, check, reduce and write: statements, questions and terms all come out of responses; any broken one leaves the
+    document with its partial report."""
+    pages = settled(C.statute_pages(spark, folder))
     rows = settled(S.chunks(pages))
-    held = documents(spark, folder).select("doc_id", F.concat(F.lit("file"), F.col("doc_id"), F.lit(".docx")).alias("file_name"))
+    held = settled(documents(spark, folder).select(
+        "doc_id", F.concat(F.lit("file"), F.col("doc_id"), F.lit(".docx")).alias("file_name")))
     results = _map_results(rows)
     found = settled(D.findings(results.where("error is null")))
-    reduced = settled(D.reduction_input(found.where("error is null")))
-    first = F.get("allowed_ids", F.lit(0))
-    sections = F.explode(F.array(*[F.lit(name) for name in fixed.SUMMARY_SECTIONS])).alias("section")
-    summaries = reduced.select("doc_id", first.alias("id"), sections).select(
-        "doc_id", "section", F.lit(0).alias("pos"), F.concat("section", F.lit(" "), "id").alias("text"),
-        F.array("id").alias("citation_ids"))
-    asked = reduced.select("doc_id", first.alias("id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("pos")).select(
-        "doc_id", "pos", F.concat(F.lit("Câu hỏi "), "pos", F.lit(" "), "id", F.lit("?")).alias("question"),
-        F.lit("lý do").alias("rationale"), F.array("id").alias("citation_ids"))
+    reduced = D.reduction_input(found.where("error is null")).select(
+        "doc_id", F.lit(0).cast("bigint").alias("batch"), "allowed_ids", F.col("findings_text").alias("evidence"))
+    ledger = f"{checkpoint_folder(spark)}/calls-{uuid4().hex}"
+    drafts = settled(CL.answered(reduced, _reducer, ledger, D.reductions, D.REDUCTION))
+    usable = drafts.where("error is null")
+    summaries, asked = settled(D.drafted_summaries(usable)), settled(D.drafted_questions(usable))
+    failed = settled(D.failed_documents(held, results, found).union(
+        D.broken_drafts(drafts, summaries, asked)).distinct())
     counts = results.groupBy("doc_id").agg(F.count("*").alias("map_batch_count"))
     reports = RP.model_reports(
-        held, pages, rows, summaries, asked, _candidates(rows), counts,
-        RP.partial_reports(held, pages, rows, "LLM_GENERATION_FAILED"), D.failed_documents(held, results, found))
+        held, pages, rows, summaries.where("error is null"), asked.where("error is null"),
+        settled(D.proposed_terms(results.where("error is null"))), settled(counts),
+        settled(RP.partial_reports(held, pages, rows, "LLM_GENERATION_FAILED")), failed)
     return long_columns(reports.select(
         "doc_id", "generation_mode", F.col("quality.map_batch_count").alias("map_batch_count"),
-        F.col("quality.question_count").alias("question_count")))
+        F.col("quality.question_count").alias("question_count"),
+        F.coalesce(F.size("terms"), F.lit(0)).alias("n_terms"),
+        F.coalesce(F.size(F.filter("terms", lambda t: t["source_type"] == "document_context")), F.lit(0)).alias("n_drafted")))
 
 
 # --- related documents ----------------------------------------------------------------------------
@@ -948,6 +962,24 @@ def history_page(spark, folder):
     return H.page(rows, 5, 2).select("task_id", "user_id", "display_name")
 
 
+@query
+def history_table(spark, folder):
+    """Every user's second page of a kept table after an update of one day's tasks and a deletion on another day."""
+    path, tasks = f"{checkpoint_folder(spark)}/tasks-{uuid4().hex}", C.history_tasks(spark, folder)
+    HT.write(tasks, path)
+    held = HT.read(spark, path)
+    updates = held.where(F.dayofmonth("created_at") == 10).select(
+        "task_id", F.lit("completed").alias("status"), F.lit("ready").alias("stage"), F.lit(100).alias("progress"),
+        (F.col("created_at") + F.expr("interval 2 minutes")).alias("at"), F.lit(None).cast("double").alias("duration_seconds"),
+        F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"))
+    updates = settled(updates)
+    HT.change(spark, path, updates, lambda rows: H.update_tasks(rows, updates))
+    HT.delete(spark, path, HT.read(spark, path).where((F.dayofmonth("created_at") == 5) & (F.col("task_type") == "question_answer")))
+    requests = tasks.select("user_id", F.lit(8).alias("offset"), F.lit(15).alias("size")).distinct()
+    return shown_tasks(HT.pages(spark, path, requests).select(
+        "user_id", "nth", "task_id", "status", "stage", "created_at", "duration_seconds"))
+
+
 @query
 def history_total(spark, folder):
     return H.totals(H.matching(C.history_tasks(spark, folder), status="failed"))

@@ -26,7 +26,3 @@ def golden_records(spark: SparkSession, path: str) -> DataFrame:
 def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
-
-def write_history(tasks: DataFrame, path: str) -> None:
-    """Task rows laid out for the two access paths: by owner and time, statistics on both columns per file."""
-    tasks.sortWithinPartitions("user_id", "created_at").write.mode("overwrite").parquet(path)
