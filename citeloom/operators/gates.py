@@ -126,3 +126,45 @@ def service_indicators(tasks: DataFrame, by: list[str]) -> DataFrame:
     p95 = ranked.where(F.col("upto") * 100 >= F.col("total") * 95).groupBy(*by).agg(
         F.min("seconds").alias("p95_seconds"))
     return rates.join(p95, by, "left")
+
+
+#: A bin of durations reaches from one power of this to the next, so a quantile is known to one part in a hundred.
+BIN_BASE = 1.01
+
+
+def daily_sketches(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, day, bin, n, done): processing tasks counted by day and by bin of their duration; null bins have none.
+
+    Sketches of any days add up: a period's is the sum of its days', however tasks were spread over them.
+    """
+    ours = tasks.where(F.col("task_type") == "document_processing")
+    seconds = F.greatest(F.col("duration_seconds"), F.lit(0.001))
+    return ours.groupBy(*by, F.to_date("created_at").alias("day"), F.ceil(
+        F.log(BIN_BASE, seconds)).cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "completed", 1)).alias("done"))
+
+
+def period_indicators(sketches: DataFrame, by: list[str], period: str, percent: int = 95) -> DataFrame:
+    """Success rate, number of tasks and the bounds of a quantile (nearest rank) per group and ``period`` (``week``, ...).
+
+    The exact quantile is above ``low_seconds`` and at most ``high_seconds``, one bin apart.
+    """
+    key = [*by, "period"]
+    dated = sketches.withColumn("period", F.to_date(F.date_trunc(period, "day")))
+    rates = dated.groupBy(*key).agg((F.sum("done") / F.sum("n")).alias("success_rate"), F.sum("n").alias("n_tasks"))
+    binned = dated.where(F.col("bin").isNotNull()).groupBy(*key, "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*key)  # as many rows as there are bins
+    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = binned.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
+    at = ranked.where(F.col("upto") * 100 >= F.col("total") * percent).groupBy(*key).agg(F.min("bin").alias("bin"))
+    bounds = at.select(*key, F.pow(F.lit(BIN_BASE), F.col("bin") - 1).alias("low_seconds"),
+                       F.pow(F.lit(BIN_BASE), F.col("bin")).alias("high_seconds"))
+    return rates.join(bounds, key, "left")
+
+
+def citation_validity(checked: DataFrame, by: list[str]) -> DataFrame:
+    """Share of cited ids that hold (:func:`citeloom.operators.citing.check_citations`), and whether all do, per group."""
+    return checked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_citations"), F.count(F.when(F.col("reason").isNull(), 1)).alias("n_valid"),
+    ).withColumn("validity", F.col("n_valid") / F.col("n_citations")).withColumn(
+        "all_valid", F.col("n_valid") == F.col("n_citations"))

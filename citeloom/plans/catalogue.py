@@ -6,10 +6,14 @@ several branches of one query read are settled (checkpointed) once.
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from collections.abc import Callable
 from uuid import uuid4
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,7 @@ from citeloom.operators import terminology as TM
 from citeloom.plans.durable import checkpoint_folder, settled
 from citeloom.sources import corpus as C
 from citeloom.sources import history_table as HT
+from citeloom.sources import records as RC
 from citeloom.sources import uploads as U
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +196,40 @@ def upload_admission(spark, folder):
         U.content_id(F.encode("text", "UTF-8")).alias("content_id"))
 
 
+def _docx(texts: pd.Series, labels: pd.Series) -> pd.Series:
+    """Word files: a paragraph per line of each text, and a table of one row with its label."""
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def written(text: str | None, label: str) -> bytes:
+        def p(value: str) -> str:
+            return f"<w:p><w:r><w:t>{escape(value)}</w:t></w:r></w:p>"
+        body = "".join(map(p, (text or "").split("\n"))) + (
+            f"<w:tbl><w:tr><w:tc>{p('text')}</w:tc><w:tc>{p(label)}</w:tc></w:tr></w:tbl>")
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+        return buffer.getvalue()
+
+    return pd.Series([written(text, label) for text, label in zip(texts, labels)])
+
+
+@query
+def docx_pages(spark, folder):
+    """``documents`` as Word files with ids of their own, through admission and extraction; some are of another type, some
+    are cut off."""
+    write, doc = F.pandas_udf(_docx, "binary"), F.col("doc_id")
+    made = documents(spark, folder).select("doc_id", write("text", "lang").alias("content"))
+    name = F.concat(F.lit("in/d"), doc, F.when(doc % 7 == 3, F.lit(".txt")).otherwise(F.lit(".DOCX")))
+    content = F.when(doc % 11 == 5, F.substring("content", 1, 40)).otherwise(F.col("content"))
+    rows = settled(made.select("doc_id", name.alias("path"), content.alias("content"))).withColumn(
+        "length", F.octet_length("content").cast("bigint"))
+    parts = settled(U.extracted_parts(U.admitted(rows)))
+    refused = U.refused(rows).select(F.lit(None).cast("string").alias("doc_id"), "file_name", "error_code")
+    pages = U.pages_of(parts).select("doc_id", "file_name", F.lit(None).cast("string").alias("error_code"),
+                                     F.col("page_number").cast("bigint").alias("page_number"), F.md5("content").alias("digest"))
+    return pages.unionByName(U.unreadable(parts).unionByName(refused), allowMissingColumns=True)
+
+
 @query
 def reader_labels(spark, folder):
     events = C.table(spark, folder, "events")
@@ -1086,12 +1125,11 @@ def gates(spark, folder):
         "lang", joined(F.col("failure_reasons")).alias("failure_reasons"), "passed")
 
 
-@query
-def golden_validation(spark, folder):
+def _golden_records(spark, folder):
     doc = F.col("doc_id")
     kind = F.get(F.array(*[F.lit(k) for k in ("qa", "summary", "term", "suggested_question")]), (doc % 4).cast("int"))
     none = F.lit(None).cast("string")
-    records = documents(spark, folder).select(
+    return documents(spark, folder).select(
         doc, F.concat(F.lit("r"), F.floor(doc / 2)).alias("id"), kind.alias("record_type"),
         F.lit("expected").alias("expected_output"),
         F.when(doc % 3 == 0, F.array(F.lit("P1-D1"))).alias("gold_citation_ids"),
@@ -1099,11 +1137,46 @@ def golden_validation(spark, folder):
         F.when(doc % 8 < 4, "in").otherwise("out").alias("scope"), F.lit(True).alias("expected_out_of_scope"),
         F.when(doc % 3 == 1, F.lit("impact")).otherwise(none).alias("section"),
         F.when(doc % 3 == 2, F.lit("  ")).when(doc % 3 == 1, F.lit("từ")).alias("term"))
+
+
+@query
+def golden_validation(spark, folder):
+    records = _golden_records(spark, folder)
     repeats = G.repeated_ids(records).select("id", F.lit(True).alias("again"))
     return records.join(repeats, "id", "left").select(
         "doc_id", "id", G.record_error().alias("error"), F.coalesce("again", F.lit(False)).alias("repeated"))
 
 
+@query
+def golden_scan(spark, folder):
+    """The same records as a file of JSON lines, with whole texts as expected output, read back with their errors."""
+    path = f"{checkpoint_folder(spark)}/golden-{uuid4().hex}"
+    texts = documents(spark, folder).select("doc_id", "text")
+    records = _golden_records(spark, folder).join(texts, "doc_id").withColumn("expected_output", F.col("text"))
+    records.drop("text").withColumn("document_path", F.col("doc_id").cast("string")).drop("doc_id").write.json(path)
+    read = RC.golden_records(spark, path)
+    return read.select(F.col("document_path").cast("bigint").alias("doc_id"), "id", "record_type", "error",
+                       F.md5("expected_output").alias("digest"))
+
+
+@query
+def report_sink(spark, folder):
+    """Reports of documents and their citations as JSON, read back."""
+    path, rows = f"{checkpoint_folder(spark)}/reports-{uuid4().hex}", settled(C.statute_chunks(spark, folder))
+    cited = S.public_citations(S.citations(rows))
+    reports = documents(spark, folder).select("doc_id").join(cited.groupBy("doc_id").agg(F.array_sort(F.collect_list(
+        F.struct("page", "chunk_id", "article", "excerpt"))).alias("citations")), "doc_id", "left")
+    RC.write_reports(reports, path)
+    lines = spark.read.text(path)
+    read = spark.read.schema(reports.schema).json(path)
+    # fields without a value are written too
+    bare = lines.select(F.get_json_object("value", "$.doc_id").cast("bigint").alias("doc_id"), F.contains(
+        "value", F.lit('"citations":null')).alias("bare"))
+    return read.join(bare, "doc_id").select("doc_id", F.coalesce(F.size("citations"), F.lit(0)).cast("bigint").alias("n_citations"),
+        F.md5(joined(F.transform("citations", lambda c: F.concat_ws(":", c["chunk_id"], c["excerpt"])), "\n")).alias("digest"),
+        "bare")
+
+
 @query
 def report_minimums(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
@@ -1118,6 +1191,23 @@ def service_indicators(spark, folder):
         "user_id", F.round("success_rate", 6).alias("success_rate"), "n_tasks", "p95_seconds")
 
 
+@query
+def indicators_by_week(spark, folder):
+    """Daily sketches of every user's processing tasks, written down and rolled up to weeks."""
+    days = settled(G.daily_sketches(C.history_tasks(spark, folder), ["user_id"]))
+    return G.period_indicators(days, ["user_id"], "week").select(
+        "user_id", F.date_format("period", "yyyy-MM-dd").alias("week"), F.round("success_rate", 6).alias("success_rate"),
+        "n_tasks", F.round("low_seconds", 6).alias("low_seconds"), F.round("high_seconds", 6).alias("high_seconds"))
+
+
+@query
+def citation_validity(spark, folder):
+    """Every document's answer, citing all its chunks and some that are not there, against a tampered citation table."""
+    rows = settled(C.statute_chunks(spark, folder))
+    checked = CT.check_citations(_claims(rows), rows, _tampered(S.citations(rows)))
+    return G.citation_validity(checked, ["doc_id"]).withColumn("validity", F.round("validity", 6))
+
+
 @query
 def cold_runs(spark, folder):
     runs = C.history_tasks(spark, folder).where("duration_seconds is not null")
