@@ -138,7 +138,7 @@ def daily_sketches(tasks: DataFrame, by: list[str]) -> DataFrame:
     Sketches of any days add up: a period's is the sum of its days', however tasks were spread over them.
     """
     ours = tasks.where(F.col("task_type") == "document_processing")
-    seconds = F.greatest(F.col("duration_seconds"), F.lit(0.001))
+    seconds = F.when(F.col("duration_seconds").isNotNull(), F.greatest("duration_seconds", F.lit(0.001)))
     return ours.groupBy(*by, F.to_date("created_at").alias("day"), F.ceil(
         F.log(BIN_BASE, seconds)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "completed", 1)).alias("done"))

@@ -1092,8 +1092,8 @@ def _golden(spark, folder):
     """Golden cases from ``labels``: quality decides the scope, the chunks with the document's leading word are gold, and
     the engine's own answer says what was cited, retrieved and refused."""
     rows = settled(C.statute_chunks(spark, folder))
-    given = A.answers(rows, _questions(spark, folder)).select(
-        F.col("q_id").alias("doc_id"), "citation_ids", "retrieved_ids", F.col("out_of_scope").alias("insufficient_evidence"))
+    given = settled(A.answers(rows, _questions(spark, folder)).select(
+        F.col("q_id").alias("doc_id"), "citation_ids", "retrieved_ids", F.col("out_of_scope").alias("insufficient_evidence")))
     leading = documents(spark, folder).select("doc_id", F.get(C.plain_words(F.col("text")), F.lit(0)).alias("leading"))
     gold = rows.join(leading, "doc_id").where(F.contains("text", "leading")).groupBy("doc_id").agg(
         F.collect_list("chunk_id").alias("gold"))

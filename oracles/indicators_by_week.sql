@@ -1,7 +1,7 @@
 -- uses: tasks
 WITH t AS (
   SELECT user_id, strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week, status,
-         CAST(ceil(ln(greatest(duration_seconds, 0.001)) / ln(1.01::DOUBLE)) AS INTEGER) AS bin
+         CASE WHEN duration_seconds IS NOT NULL THEN CAST(ceil(ln(greatest(duration_seconds, 0.001)) / ln(1.01::DOUBLE)) AS INTEGER) END AS bin
   FROM task_rows WHERE task_type = 'document_processing'),
 d AS (
   SELECT user_id, week, bin, row_number() OVER (PARTITION BY user_id, week ORDER BY bin) AS n,
