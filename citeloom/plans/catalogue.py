@@ -792,9 +792,10 @@ def model_report(spark, folder):
         "doc_id", F.concat(F.lit("file"), F.col("doc_id"), F.lit(".docx")).alias("file_name")))
     results = _map_results(rows)
     found = settled(D.findings(results.where("error is null")))
-    reduced = D.reduction_input(found.where("error is null")).select(
-        "doc_id", F.lit(0).cast("bigint").alias("batch"), "allowed_ids", F.col("findings_text").alias("evidence"))
     ledger = f"{checkpoint_folder(spark)}/calls-{uuid4().hex}"
+    reduced = D.reduced(found.where("error is null"), lambda parts: D.findings(
+        CL.answered(parts, _mapper, ledger, D.map_results, D.MAP_OUTPUT).where("error is null"))).select(
+        "doc_id", F.lit(0).cast("bigint").alias("batch"), "allowed_ids", F.col("findings_text").alias("evidence"))
     drafts = settled(CL.answered(reduced, _reducer, ledger, D.reductions, D.REDUCTION))
     usable = drafts.where("error is null")
     summaries, asked = settled(D.drafted_summaries(usable)), settled(D.drafted_questions(usable))
