@@ -18,10 +18,8 @@ NUMBER = r"(?iU)" + ACT_NUMBER
 ORDER = ["page", "ordinal", "kind", "at"]
 
 
-def raw_mentions(chunk_rows: DataFrame) -> DataFrame:
-    """All mentions in reading order: bracketed numbers, then numbered acts, then laws named without a number."""
-    text = F.col("text")
-
+def mention_array(text: Column) -> Column:
+    """All mentions of a text in reading order: bracketed numbers, then numbered acts, then laws named without a number."""
     def found(pattern: str, kind: int, number: Column | None = None) -> Column:
         titles = F.regexp_extract_all(text, F.lit(pattern), F.lit(0 if number is not None else 1))
         numbers = None if number is not None else F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
@@ -31,8 +29,11 @@ def raw_mentions(chunk_rows: DataFrame) -> DataFrame:
             return F.struct(F.lit(kind).alias("kind"), at.alias("at"), title.alias("title"), own.alias("number"))
         return F.transform(titles, mention)
 
-    every = F.concat(found(BRACKETED, 1), found(NUMBERED, 2), found(NAMED_LAW, 3, F.lit("")))
-    return chunk_rows.select("doc_id", "chunk_id", "page", "ordinal", "text", F.inline(every))
+    return F.concat(found(BRACKETED, 1), found(NUMBERED, 2), found(NAMED_LAW, 3, F.lit("")))
+
+
+def raw_mentions(chunk_rows: DataFrame) -> DataFrame:
+    return chunk_rows.select("doc_id", "chunk_id", "page", "ordinal", "text", F.inline(mention_array(F.col("text"))))
 
 
 def keyed_mentions(raw: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.functions import fixed
+from citeloom.functions import fixed, session
 from citeloom.functions import text as T
 from citeloom.operators import answering as A
 from citeloom.operators import batching as B
@@ -148,6 +148,15 @@ def redact_secrets(spark, folder):
     return documents(spark, folder).select("doc_id", T.redact(extended).alias("text"))
 
 
+@query
+def redact_by_sql(spark, folder):
+    """The same by the session's SQL function, in SQL."""
+    session.register(spark)
+    return spark.sql(
+        "SELECT doc_id, redact(text || ' Authorization: Bearer' || doc_id || ', API-key = k' || doc_id || ' end') AS text "
+        "FROM {documents}", documents=documents(spark, folder))
+
+
 @query
 def table_markdown(spark, folder):
     words = C.plain_words(F.col("text"))
@@ -822,6 +831,15 @@ def raw_mentions(spark, folder):
     return long_columns(rows.select("doc_id", "chunk_id", "kind", "at", "title", "number"))
 
 
+@query
+def mentions_by_sql(spark, folder):
+    """The same by the session's SQL table function, in SQL."""
+    session.register(spark)
+    return long_columns(spark.sql(
+        "SELECT c.doc_id, c.chunk_id, m.* FROM {chunks} c, LATERAL act_mentions(c.text) m",
+        chunks=C.statute_chunks(spark, folder)))
+
+
 @query
 def mentions(spark, folder):
     rows = settled(C.statute_chunks(spark, folder))
