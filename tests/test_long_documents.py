@@ -51,8 +51,18 @@ def greedy(costs, budget):
     return result
 
 
-@pytest.mark.parametrize("size, budget", [(2, 60), (5, 40), (1, 200), (1000, 60)])
-def test_batches_across_blocks(spark, monkeypatch, size, budget):
+@pytest.fixture
+def frame_rows(spark, request):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, request.param)
+    yield
+    spark.conf.set(setting, before)
+
+
+@pytest.mark.parametrize("size, budget, frame_rows", [
+    (2, 60, 10000), (5, 40, 3), (1, 200, 1), (1000, 60, 10000), (1000, 200, 4), (1000, 2000, 7)], indirect=["frame_rows"])
+def test_batches_across_blocks(spark, monkeypatch, frame_rows, size, budget):
     rng = random.Random(budget)
     rows = [(doc, f"P{page}-D{n}", page, n, "x" * rng.randint(1, 90)) for doc in range(4)
             for page in range(1, rng.randint(2, 25)) for n in range(1, rng.randint(2, 6))]
