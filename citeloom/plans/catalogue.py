@@ -14,6 +14,7 @@ from uuid import uuid4
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from citeloom.operators import terminology as TM
 from citeloom.plans.durable import checkpoint_folder, settled
 from citeloom.sources import corpus as C
 from citeloom.sources import history_table as HT
+from citeloom.sources import page_source as PS
 from citeloom.sources import records as RC
 from citeloom.sources import uploads as U
 
@@ -239,6 +241,41 @@ def docx_pages(spark, folder):
     return pages.unionByName(U.unreadable(parts).unionByName(refused), allowMissingColumns=True)
 
 
+class _Feeds:
+    """Pages with a form feed between them."""
+
+    def count(self, content: bytes) -> int:
+        return content.count(b"\f") + 1
+
+    def pages(self, content: bytes, first: int, last: int) -> list[str]:
+        return content.decode().split("\f")[first - 1:last]
+
+
+@query
+def paged_files(spark, folder):
+    """``documents`` bound into files of up to fifty pages, read back by page ranges: large files by several tasks."""
+    root = f"{checkpoint_folder(spark)}/paged-{uuid4().hex}"
+    bound = documents(spark, folder).groupBy(F.floor(F.col("doc_id") / 50).alias("file")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\f"), F.lit(" ")).alias(
+            "text")))), lambda row: row["text"]), "\f").alias("content"))
+
+    def keep(frames):
+        system, place = fs.FileSystem.from_uri(root)
+        for frame in frames:
+            for number, content in zip(frame["file"], frame["content"]):
+                path = f"{place}/{number % 10}/b{number}.pdf"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(content.encode())
+            yield frame[["file"]]
+
+    bound.mapInPandas(keep, "file bigint").write.format("noop").mode("overwrite").save()
+    PS.register(spark, {".pdf": _Feeds()})
+    parts = settled(spark.read.format("pages").option("sliceBytes", 1 << 16).load(root))
+    return U.pages_of(parts).select(
+        "doc_id", "file_name", F.col("page_number").cast("bigint").alias("page_number"), F.md5("content").alias("digest"))
+
+
 @query
 def reader_labels(spark, folder):
     events = C.table(spark, folder, "events")
