@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,19 @@ def test_batches_across_blocks(spark, monkeypatch, frame_rows, size, budget):
         assert [got[(doc, r[1])] for r in mine] == expected
 
 
+@pytest.mark.parametrize("per_frame", [1, 2, 3, 100])
+def test_frames_of_rows_without_document(per_frame):
+    """A null id is a document like any other, and a frame may end anywhere."""
+    docs, costs = [None] * 5 + [1] * 4 + [2], [30, 30, 90, 10, 10, 50, 20, 40, 40, 5]
+    rows = [{"doc_id": d, "page": 1, "ordinal": i, "chunk_id": str(i), "cost": c, "block": 0, "open_size": 0, "batches": 0}
+            for i, (d, c) in enumerate(zip(docs, costs))]
+    types = pa.schema([("doc_id", pa.int32()), ("page", pa.int32()), ("ordinal", pa.int32()), ("chunk_id", pa.string()),
+                       ("cost", pa.int64()), ("block", pa.int32()), ("open_size", pa.int64()), ("batches", pa.int64())])
+    frames = [pa.RecordBatch.from_pylist(rows[i:i + per_frame], types) for i in range(0, len(rows), per_frame)]
+    got = [n for frame in B._numbered(iter(frames), 70) for n in frame["batch"].to_pylist()]
+    assert got == greedy(costs[:5], 70) + greedy(costs[5:9], 70) + [0]
+
+
 def test_reference_batches(spark, tmp_path):
     texts = [f"Nội dung nguồn số {i} có nghĩa vụ riêng." for i in range(4)]
     frame = spark.createDataFrame([(1, f"P{i + 1}-D1", i + 1, 1, t) for i, t in enumerate(texts)],
