@@ -1,7 +1,10 @@
 """History and enrichment kept from streams: state that ends, late rows, compaction."""
 
+import json
 from datetime import datetime, timedelta
+from unittest import mock
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from citeloom.operators import history as H
@@ -72,6 +75,22 @@ def test_state_falls_to_the_open_tasks(spark, tmp_path):
     assert len(list((tmp_path / "table" / "base").glob("version=*"))) == 1
 
 
+def test_a_task_asks_its_state_once():
+    """A round trip to read the fold, one to write it, one for the timer; an ended task gives nothing."""
+    handle, times = mock.Mock(), mock.Mock()
+    handle.getValueState.return_value.get.return_value = None
+    times.getCurrentWatermarkInMs.return_value = 0
+    fold = HS.TaskFold(timedelta(hours=1))
+    fold.init(handle)
+    state = handle.getValueState.return_value
+    steps = [Row(step=json.dumps({"seq": 1, "kind": "create", "status": "completed", "at": 5_000_000}))]
+    (row,) = fold.handleInputRows(("t",), iter(steps), times)
+    assert row.task_id == "t" and json.loads(row.fold)["closed"]["seq"] == 1
+    assert [call[0] for call in state.method_calls] == ["get", "update"]
+    handle.registerTimer.assert_called_once_with(5_000 + 3_600_000)
+    assert list(fold.handleExpiredTimer(("t",), times, None)) == [] and state.method_calls[-1][0] == "clear"
+
+
 def test_enrichment_in_time_late_and_missing(spark, tmp_path):
     at = lambda seconds: START + timedelta(seconds=seconds)
     requests = [(1, at(0)), (2, at(5)), (3, at(10)), (4, at(10)), (-1, at(9000))]
