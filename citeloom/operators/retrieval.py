@@ -15,6 +15,7 @@ from citeloom.plans.durable import settled
 
 WEIGHT_UNIT = 10**12
 CHUNK_KEY = ["doc_id", "page", "chunk_id"]
+LISTED_TOKENS = 256
 
 
 def token_sets(chunk_rows: DataFrame, scope: str = "doc_id") -> DataFrame:
@@ -59,6 +60,25 @@ def matches(index: DataFrame, asked: DataFrame) -> DataFrame:
     return postings(index).join(wanted, ["scope", "token"], "left_semi")
 
 
+def met(chunk_rows: DataFrame, asked: DataFrame, scope: str = "doc_id", listed_tokens: int = LISTED_TOKENS) -> DataFrame:
+    """:func:`matches` of chunks that are not indexed yet.
+
+    A collection asked for few tokens, such as a document with its questions, brings them to its chunks as one list: a chunk's
+    row meets the list, a text that holds none of them is not tokenised and no other token ever becomes a row.
+    Collections asked for more than ``listed_tokens`` are exploded, each token meeting its own postings.
+    """
+    lists = settled(asked.groupBy("scope").agg(F.collect_set("token").alias("asked")))
+    few = lists.where(F.size("asked") <= listed_tokens)
+    many = settled(lists.where(F.size("asked") > listed_tokens).select("scope"))
+    tokens = T.let(T.casefold(F.col("text")), lambda folded: F.when(
+        F.exists("asked", lambda token: F.contains(folded, token)), T.folded_token_set(folded)))
+    listed = chunk_rows.select(F.col(scope).alias("scope"), F.struct(*CHUNK_KEY).alias("chunk"), "text").join(
+        few, "scope").select("scope", "chunk", "asked", tokens.alias("tokens")).select(
+        "scope", "chunk", F.size("tokens").alias("n_tokens"), F.array_intersect("tokens", "asked").alias("tokens"))
+    crowded = token_sets(chunk_rows, scope).join(many, "scope", "left_semi")
+    return exploded(listed).unionByName(matches(crowded, asked.join(many, "scope", "left_semi")))
+
+
 def token_weights(found: DataFrame, sizes: DataFrame, asked: DataFrame) -> DataFrame:
     """(q_id, scope, token, df, units) for question tokens that occur in their collection."""
     frequency = found.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -67,12 +87,12 @@ def token_weights(found: DataFrame, sizes: DataFrame, asked: DataFrame) -> DataF
 
 
 def scores(found: DataFrame, weights: DataFrame) -> DataFrame:
-    """Every (question, chunk) sharing a token, with ``lexical`` = summed weight / sqrt(chunk tokens)."""
+    """Every (question, chunk) sharing a token, with ``lexical`` = summed weight / sqrt(chunk tokens) and the tokens ``met``."""
     matched = found.join(weights.select("q_id", "scope", "token", "units"), ["scope", "token"])
     summed = matched.groupBy("q_id", "chunk").agg(
-        F.sum("units").alias("units"), F.max("n_tokens").alias("n_tokens"))
+        F.sum("units").alias("units"), F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_set("token")).alias("met"))
     lexical = F.col("units") / F.lit(float(WEIGHT_UNIT)) / F.sqrt(F.greatest("n_tokens", F.lit(1)))
-    return summed.select("q_id", "chunk.*", lexical.alias("lexical"))
+    return summed.select("q_id", "chunk.*", lexical.alias("lexical"), "met")
 
 
 def top_k(scored: DataFrame, k: int = fixed.DEFAULT_TOP_K) -> DataFrame:
@@ -95,7 +115,7 @@ def search(
     are few; the postings they meet are written down once, and document frequencies and scores are taken from those.
     """
     asked = settled(question_tokens(questions, scope))
-    found = settled(matches(token_sets(chunk_rows, scope), asked))
+    found = settled(met(chunk_rows, asked, scope))
     weights = settled(token_weights(found, collection_sizes(chunk_rows, scope), asked))
     return top_k(scores(found, weights), k), weights
 

@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from citeloom.functions import fixed
 from citeloom.functions import text as T
+from citeloom.operators import answering as A
 from citeloom.operators import report as RP
+from citeloom.operators import retrieval as R
 from citeloom.operators import segmentation as S
 from citeloom.sources import corpus as C
 from tests.test_long_documents import CHUNK, random_pages
@@ -49,3 +52,63 @@ def test_collapse_meets_every_space(spark):
     values = [v for c in points for v in (f"a{chr(c)}b", f"{chr(c)}a {chr(c)} b")]
     rows = spark.createDataFrame(list(enumerate(values)), "i int, s string").select("i", T.collapse(F.col("s")).alias("r"))
     assert {r.i: r.r for r in rows.collect()} == {i: " ".join(v.split()) for i, v in enumerate(values)}
+
+
+def shuffled_rows(rows):
+    """Rows of the widest shuffle that a frame's run wrote."""
+    rows.collect()
+    found, stack = [], [rows._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if "Exchange" in node.nodeName() and node.metrics().contains("shuffleRecordsWritten"):
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for inner in ("executedPlan", "plan"):
+            if node.nodeName() == "AdaptiveSparkPlan" and inner == "executedPlan":
+                stack.append(node.executedPlan())
+            if "QueryStage" in node.nodeName() and inner == "plan":
+                stack.append(node.plan())
+        children = node.children()
+        stack.extend(children.apply(i) for i in range(children.size()))
+    return max(found)
+
+
+def asking(spark, n_chunks=40, n_questions=6):
+    """Documents of many tokens asked for a few, and one collection of them asked for more than a list holds."""
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(60)) for i in range(n_chunks)]
+    rows = spark.createDataFrame(
+        [(i % 4, f"P{i}-D1", i, text, None, None) for i, text in enumerate(texts)],
+        "doc_id int, chunk_id string, page int, text string, article string, clause string")
+    asked = [(f"{d}-{n}", d, f"w{n * 5} w{d} w{n + 11} là w{n + 12}") for d in range(4) for n in range(n_questions)]
+    return rows, spark.createDataFrame(asked, "q_id string, doc_id int, question string")
+
+
+def test_listed_and_exploded_tokens_find_the_same(spark):
+    rows, questions = asking(spark)
+    asked, columns = R.question_tokens(questions), ["scope", "token", "chunk", "n_tokens"]
+    plain = sorted(map(tuple, R.matches(R.token_sets(rows), asked).select(columns).collect()))
+    for listed in (0, 15, 1000):
+        got = R.met(rows, asked, listed_tokens=listed).select(columns).collect()
+        assert sorted(map(tuple, got)) == plain and plain
+
+
+def test_tokens_nobody_asks_for_are_not_shuffled(spark):
+    rows, questions = asking(spark)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled_rows(R.met(rows, R.question_tokens(questions))) <= rows.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_support_is_the_same_from_met_tokens_and_from_texts(spark):
+    rows, questions = asking(spark)
+    questions = questions.unionByName(spark.createDataFrame(
+        [("p", 0, "w1 và w2 w3"), ("s", 1, "là của"), ("e", 2, "9 w30 w3")], questions.schema))
+    ranked, weights = R.search(rows, questions)
+    sides = [A.support(A.evidence_rows(hits, rows, questions), weights) for hits in (ranked, ranked.drop("met"))]
+    plain = T.content_phrase(F.col("text"), fixed.STOP_WORDS).contains(T.content_phrase(F.col("question"), fixed.STOP_WORDS))
+    first, second = [sorted(map(tuple, side.select("q_id", "chunk_id", "shared", "supported", plain).collect()), key=str)
+                     for side in sides]
+    assert first == second and {r[3] for r in first} == {True, False}
+    assert all(supported for *_, supported, phrase in first if phrase) and any(phrase for *_, phrase in first)
