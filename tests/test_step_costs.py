@@ -1,5 +1,7 @@
 """Steps that many queries share do their costly part once, and cheaper plans hold what the plain ones hold."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from citeloom.functions import fixed
@@ -112,3 +114,17 @@ def test_support_is_the_same_from_met_tokens_and_from_texts(spark):
                      for side in sides]
     assert first == second and {r[3] for r in first} == {True, False}
     assert all(supported for *_, supported, phrase in first if phrase) and any(phrase for *_, phrase in first)
+
+
+def test_word_keys_are_those_of_cut_words(spark):
+    values = ["", " ", "là", "và của", "lành là lá", "a bc, DE f: Điều_1", "ĐIỀU 5/2023/NĐ-CP; x", "của. của của_x 😀𝒳𝒴 là", "\x1f a\x85b ",
+              "–a–là–bc", "từ", "từ ngữ", "\n\n x \t\r\n  y　 　z" + "\n" * 20000 + "w"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, s string").select(
+        "i", T.content_phrase(F.col("s"), fixed.STOP_WORDS).alias("phrase"), T.word_title(F.col("s")).alias("title"),
+        T.reference_key(F.col("s")).alias("key"), T.collapse(F.col("s")).alias("even"), T.sentences(F.col("s")).alias("parts"))
+    for r in rows.collect():
+        found = re.findall(r"\w+", values[r.i].casefold())
+        assert r.phrase == " ".join(w for w in found if len(w) > 1 and w not in fixed.STOP_WORDS)
+        assert r.title == " ".join(found) and r.even == " ".join(values[r.i].split())
+        assert r.key == " ".join(re.findall(r"[\w/-]+", values[r.i].casefold()))
+        assert r.parts == re.split(r"(?<=[.!?。])\s+", values[r.i].strip())
