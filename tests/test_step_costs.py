@@ -10,6 +10,7 @@ from citeloom.operators import answering as A
 from citeloom.operators import report as RP
 from citeloom.operators import retrieval as R
 from citeloom.operators import segmentation as S
+from citeloom.operators import terminology as TM
 from citeloom.sources import corpus as C
 from tests.test_long_documents import CHUNK, random_pages
 
@@ -128,3 +129,52 @@ def test_word_keys_are_those_of_cut_words(spark):
         assert r.title == " ".join(found) and r.even == " ".join(values[r.i].split())
         assert r.key == " ".join(re.findall(r"[\w/-]+", values[r.i].casefold()))
         assert r.parts == re.split(r"(?<=[.!?。])\s+", values[r.i].strip())
+
+
+def test_evidence_is_read_once(spark):
+    rows = spark.createDataFrame([(1, "P1-D1", 1, 1, "Điều 1. Có nghĩa vụ", *[None] * 5)], CHUNK)
+    candidates = spark.createDataFrame(
+        [(1, 0, "nghĩa vụ", "x", "lý do", 90, 90, ["P1-D1"], "")],
+        "doc_id int, pos int, term string, category string, selection_reason string, legal_salience int, "
+        "reader_difficulty int, citation_ids array<string>, explanation string")
+    rated = TM.rated_candidates(candidates, rows, TM.defined_terms(rows))
+    assert plan(rated).count("có quyền|có nghĩa vụ") == 1 and [r.verdict for r in rated.collect()] == ["accepted"]
+    texts = spark.createDataFrame([("l", "t", "e")], "l string, t string, e string")
+    kind = TM.category_of(F.col("l"), F.col("t"), F.col("e"))
+    once = plan(texts.select(T.casefold(F.concat_ws(" ", "t", "e")).alias("r"))).count("concat_ws(")
+    assert plan(texts.select(kind.alias("r"))).count("concat_ws(") == once
+
+
+def test_evidence_goes_to_candidates_that_may_pass(spark):
+    rows = spark.createDataFrame([(1, f"P1-D{i}", 1, i, f"chữ{i} có quyền", *[None] * 5) for i in range(30)], CHUNK)
+    candidates = spark.createDataFrame(
+        [(1, i, f"chữ{i % 10}", "x", "lý do" if i else " ", 60 if i % 3 else 40, 50, [f"P1-D{i}", "P1-D0"], "") for i in range(30)],
+        "doc_id int, pos int, term string, category string, selection_reason string, legal_salience int, "
+        "reader_difficulty int, citation_ids array<string>, explanation string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rated = TM.rated_candidates(candidates, rows, TM.defined_terms(rows))
+        # two cited chunks each: 40 rows for the 20 that may pass, 59 or more if all gathered them
+        assert shuffled_rows(rated) <= 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    proof = [" ".join(dict.fromkeys([f"chữ{i} có quyền", "chữ0 có quyền"])) for i in range(30)]
+    passing = [i for i in range(30) if i % 3 and f"chữ{i % 10}" in proof[i]]
+    first = {i % 10: i for i in reversed(passing)}
+    for r in rated.collect():
+        assert r.passing == (r.pos in passing) and r.evidence == (proof[r.pos] if r.passing else None)
+        accepted = first.get(r.pos % 10, 99)
+        assert r.verdict == ("accepted" if r.pos == accepted else "rejected" if r.pos > accepted else "dropped")
+
+
+def test_glossary_marks_are_those_of_collapsed_texts(spark):
+    blanks = ["", " ", "\x1c", " 　", "\n\t", " \x85  "]
+    texts = [f"{a}{head.replace(' ', b or ' ')}{a}" for a in blanks for b in blanks for head in (
+        "3. Giải thích từ ngữ", "điều 12 x", "12) a là b", "GIẢI THÍCH TỪ NGỮ", "1. Từ được hiểu là điều", "Đượcc hiểu như sau",
+        "ĐƯỢC HIỂU NHƯ SAU", "xđiều 1", "1234. a là b", "5. " + "z " * 89 + "là b", "5. " + "z " * 91 + "là b")]
+    pages = [(i // 4, f"P{i % 4}-D1", i % 4, 1, text, *[None] * 5) for i, text in enumerate(texts)]
+    rows = spark.createDataFrame(pages, CHUNK)
+    even = spark.createDataFrame([(d, c, p, o, " ".join(t.split()), *rest) for d, c, p, o, t, *rest in pages], CHUNK)
+    got, expected = [sorted(map(tuple, TM.glossary_rows(side).collect()), key=str) for side in (rows, even)]
+    assert got == expected and len(got) > 20
