@@ -101,3 +101,41 @@ def test_small_files_share_tasks():
     pieces = [piece for task in tasks for piece in task.value]
     assert [p.path for p in pieces].count("g") == 3 and len(pieces) == 1004
     assert sum(len(task.value) == 10 for task in tasks) >= 99 and max(len(task.value) for task in tasks) <= 11
+
+
+def test_many_slices_share_tasks():
+    files = [(f"f{i:04}", 250) for i in range(2000)] + [("g", 10**9), ("h", 40)]
+    cut = [(p.path, p.part, p.parts) for task in page_source.slices(files, 100, 1000) for p in task.value]
+    joined = list(page_source.tasks(files, 100, 1000))
+    assert [(p.path, p.part, p.parts) for task in joined for p in task.value] == cut and len(cut) == 6002
+    assert 200 < len(joined) < 300 and max(len(task.value) for task in joined) <= page_source.FILES_PER_TASK
+    few = files[:50]
+    assert [t.value for t in page_source.tasks(few, 100, 1000)] == [t.value for t in page_source.slices(few, 100, 1000)]
+
+
+def test_joined_slices_give_what_slices_give(read, inbox, tmp_path, monkeypatch):
+    (inbox / "notes.txt").write_text("no" * 2000)
+    apart = sorted(map(str, read(sliceBytes=700).collect()))
+    assert sum("UNSUPPORTED_FILE" in row for row in apart) == 2 and sum("PROCESSING_FAILED" in row for row in apart) == 1
+    reader = page_source.page_source({".pdf": Feed(str(tmp_path / "asked"))})({"path": str(inbox), "sliceBytes": "700"}).reader(None)
+    opened = []
+
+    class Watched:
+        def __init__(self, system):
+            self.system = system
+
+        def open_input_file(self, path):
+            opened.append(path)
+            return self.system.open_input_file(path)
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+    plain = page_source.fs.FileSystem.from_uri
+    monkeypatch.setattr(page_source, "fs", type("fs", (), {
+        "FileSystem": type("F", (), {"from_uri": staticmethod(lambda uri: (Watched(plain(uri)[0]), plain(uri)[1]))}),
+        "FileSelector": page_source.fs.FileSelector, "FileType": page_source.fs.FileType}))
+    whole = page_source.Slices([piece for task in reader.partitions() for piece in task.value])
+    rows = list(reader.read(whole))
+    assert len(rows) == len(apart) and len(opened) == len(set(opened)) == 5
+    assert sorted((r[1], r[2] or 0) for r in rows) == sorted((r.file_name, r.page_number or 0) for r in read(sliceBytes=700).collect())
