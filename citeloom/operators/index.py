@@ -64,7 +64,7 @@ def add_segment(chunk_rows: DataFrame, root: str, scope: str = "doc_id", part_po
     dealt = single.join(settled(hot), ["scope", "token"], "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int"), F.lit(0)))
     listed = dealt.groupBy("scope", "token", "part").agg(
-        F.array_sort(F.collect_list(F.struct("n_tokens", "chunk"))).alias("entries"))
+        F.sort_array(F.collect_list(F.struct("n_tokens", "chunk"))).alias("entries"))
     starts = F.sequence(F.lit(0), F.floor((F.size("entries") - 1) / block_postings).cast("int"))
     blocks = listed.select("scope", "token", "part", F.posexplode(F.transform(
         starts, lambda i: F.slice("entries", i * block_postings + 1, block_postings))).alias("block", "entries"))
@@ -143,7 +143,8 @@ def scored(spark: SparkSession, root: str, weights: DataFrame, candidate_rows: D
     asked = weights.groupBy("q_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "units"))).alias("asked"))
     homed = candidate_rows.withColumn("home", _bucket(F.col("chunk.doc_id"), _buckets(spark, root))).where("home >= 0")
     held = _table(spark, root, "forward").join(homed, ["home", "scope", "chunk"]).join(asked, "q_id")
-    shared = F.array_intersect(F.map_keys("asked"), F.col("tokens"))
+    # The second array is the one that is hashed, for every candidate: the question's, which is the short one.
+    shared = F.array_intersect(F.col("tokens"), F.map_keys("asked"))
     units = F.aggregate(shared, F.lit(0).cast("bigint"), lambda total, t: total + F.element_at("asked", t))
     return held.select("q_id", "chunk.*", _score(units, F.size("tokens")).alias("lexical"))
 

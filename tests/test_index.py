@@ -93,3 +93,17 @@ def test_unfinished_segment_is_not_read(spark, stored, tmp_path):
     got, _ = IX.search(spark, str(tmp_path), questions(spark, ["the topic3 w1"]), 5, "collection")
     expected, _ = R.search(few, questions(spark, ["the topic3 w1"]), 5, "collection")
     assert first and ordered(got) == ordered(expected)
+
+
+def test_costly_forms_are_not_planned(spark, stored, monkeypatch):
+    """Candidates hash the question's few tokens, not their own; blocks are sorted without a comparator in steps of its own."""
+    root, rows = stored
+    weights = IX.weighed(spark, root, R.question_tokens(questions(spark, ["topic1 topic2 the"]), "collection"))
+    found = IX.candidates(spark, root, weights, IX.bars(spark, root, weights, 3))
+    shown = IX.scored(spark, root, weights, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect(tokens" in shown and "array_intersect(map_keys" not in shown
+    monkeypatch.setattr(F, "array_sort", None)
+    again = f"{root}-again"
+    IX.add_segment(rows.where("collection = 'few'"), again, "collection", 70, 5)
+    blocks = IX._table(spark, again, "postings").collect()
+    assert len(blocks) > 100 and all(list(b.entries) == sorted(b.entries) and b.least == b.entries[0].n_tokens for b in blocks)
