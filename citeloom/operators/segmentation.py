@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
-from citeloom.plans.carry import page_block, running_last
+from citeloom.plans.carry import last_in_block, page_block, running_last
 from citeloom.plans.durable import settled
 
 LEVELS = ["chapter", "section", "article", "clause", "point"]
@@ -81,14 +81,19 @@ def chunks(pages: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """``pages(doc_id, page_number, content)`` to chunks with their place in the document structure.
 
     ``numbers(doc_id, page_number)`` may name a cheaper plan that holds each document's last page.  Which documents are long
-    is written down first: where none is, their part of the plan ends before it reads or shuffles a page.
+    is written down first: where none is, nothing is carried and the plan ends with the windows, which leave rows that are
+    dealt out by document where they lie.
     """
     units = page_units(pages).withColumn("block", page_block(F.col("page")))
     numbers = pages if numbers is None else numbers
     long_docs = settled(numbers.where(page_block(F.col("page_number")) > 0).select("doc_id").distinct())
-    long_units = page_units(pages.join(long_docs, "doc_id", "left_semi")).withColumn(
-        "block", page_block(F.col("page")))
-    placed = running_last(units, ["doc_id"], "block", ["page", "ordinal"], _open_headings(), long_units)
+    along = (["doc_id"], "block", ["page", "ordinal"], _open_headings())
+    if long_docs.isEmpty():
+        placed = last_in_block(units, *along)
+    else:
+        long_units = page_units(pages.join(long_docs, "doc_id", "left_semi")).withColumn(
+            "block", page_block(F.col("page")))
+        placed = running_last(units, *along, long_units)
     return placed.select(
         "doc_id",
         F.concat(F.lit("P"), F.col("page"), F.lit("-D"), F.col("ordinal")).alias("chunk_id"),

@@ -16,6 +16,12 @@ def page_block(page: Column, pages_per_block: int = PAGES_PER_BLOCK) -> Column:
     return F.floor(page / F.lit(pages_per_block)).cast("int")
 
 
+def last_in_block(rows: DataFrame, group: list[str], block: str, order: list[str], events: dict[str, Column]) -> DataFrame:
+    """Add, per event, its last non-null value at or before each row of its block."""
+    within = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({name: F.last(event, ignorenulls=True).over(within) for name, event in events.items()})
+
+
 def running_last(
     rows: DataFrame,
     group: list[str],
@@ -28,8 +34,7 @@ def running_last(
 
     ``long_rows`` may name a cheaper plan for the rows of the groups that span more than one block.
     """
-    within = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    windowed = rows.withColumns({name: F.last(event, ignorenulls=True).over(within) for name, event in events.items()})
+    windowed = last_in_block(rows, group, block, order, events)
 
     if long_rows is None:
         spanning = rows.where(F.col(block) > 0).select(*group).distinct()

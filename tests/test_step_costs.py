@@ -11,6 +11,7 @@ from citeloom.operators import report as RP
 from citeloom.operators import retrieval as R
 from citeloom.operators import segmentation as S
 from citeloom.operators import terminology as TM
+from citeloom.plans.durable import bucketed
 from citeloom.sources import corpus as C
 from tests.test_long_documents import CHUNK, random_pages
 
@@ -104,6 +105,49 @@ def test_tokens_nobody_asks_for_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_chunks_stored_by_document_do_not_move(spark):
+    rows, questions = asking(spark)
+    stored = bucketed(rows.repartition(4, "doc_id"), "doc_id", 4)
+    assert sorted(map(tuple, stored.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert not any(table.name.startswith("bucketed") for table in spark.catalog.listTables())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked, weights = R.search(stored, questions)
+        evidence = A.evidence_rows(ranked, stored, questions, weights)
+        # four lists of tokens, four of hits; forty texts
+        assert shuffled_rows(R.met(stored, R.question_tokens(questions))) <= 24
+        assert shuffled_rows(evidence.select("q_id", "text")) <= 4
+        assert shuffled_rows(A.support(evidence, weights).select("q_id", "text", "supported")) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_listed_and_single_hits_bring_the_same_evidence(spark):
+    rows, questions = asking(spark)
+    ranked, weights = R.search(rows, questions)
+    ranked = ranked.where("doc_id > 0 or rank < 3")  # twelve hits in one document, eighteen in the others
+    words = spark.createDataFrame([("a", 7, None)], questions.schema)  # asked of a document that is not there
+    columns = ["q_id", "doc_id", "page", "chunk_id", "rank", "text", "article", "shared"]
+    plain = sorted(map(tuple, ranked.join(rows, ["doc_id", "page", "chunk_id"]).join(questions, ["q_id", "doc_id"]).withColumn(
+        "shared", F.array_intersect(T.token_set(F.col("question")), T.token_set(F.col("text")))).select(columns).collect()), key=str)
+    assert len(plain) == ranked.count() > 40
+    for listed in (0, 12, 1000):
+        got = A.evidence_rows(ranked, rows, questions.unionByName(words), weights, listed_hits=listed)
+        assert sorted(map(tuple, got.select(columns).collect()), key=str) == plain
+
+
+def test_stored_chunks_are_those_of_the_pages(spark, folder):
+    stored, plain = [sorted(map(tuple, rows.collect()), key=str) for rows in (
+        C.stored_chunks(spark, folder), C.statute_chunks(spark, folder))]
+    assert stored == plain and len(stored) > 500
+
+
+def test_short_documents_carry_nothing(spark):
+    pages = spark.createDataFrame([(1, 1, "Điều 1. a"), (1, 2, "bcd")], "doc_id int, page_number int, content string")
+    assert " Join " not in plan(S.chunks(pages)) and [r.article for r in S.chunks(pages).orderBy("page").collect()] == ["Điều 1"] * 2
+
+
 def test_support_is_the_same_from_met_tokens_and_from_texts(spark):
     rows, questions = asking(spark)
     questions = questions.unionByName(spark.createDataFrame(
